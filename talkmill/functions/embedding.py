@@ -75,10 +75,12 @@ def hash_provider() -> EmbeddingProvider:
 
 def parse_vector(raw: Column) -> Column:
     """JSON text to array<double>; null for bad JSON, a non-array or a value that is no number."""
-    items = F.from_json(raw, "array<variant>")
+    parsed = F.try_parse_json(raw)
+    is_array = F.schema_of_variant(parsed).startswith("ARRAY")
+    items = F.when(is_array, parsed).cast("array<variant>")
     numbers = F.transform(
         items,
         lambda v: F.when(v.isNull() | F.is_variant_null(v), F.lit(0.0)).otherwise(F.try_variant_get(v, "$", "double")),
     )
     usable = ~F.exists(numbers, lambda n: n.isNull() | F.isnan(n))
-    return F.when(raw.rlike(r"^\s*\[") & usable, numbers)
+    return F.when(usable, numbers)

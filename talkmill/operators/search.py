@@ -137,10 +137,12 @@ def match_chunks(index: TextIndex, queries: DataFrame, k1: float = BM25_K1, b: f
         .join(index.docs.select("chunk_id", "dl"), "chunk_id")
         .withColumn("score", F.col("idf") * (tf * (k1 + 1)) / saturation)
     )
+    # A query has few phrases. Adding their scores in phrase order gives equal texts equal ranks.
     per_chunk = scored.groupBy("query_id", "chunk_id", "n_phrases").agg(
-        F.sum("score").alias("score"), F.count("*").alias("found")
+        F.array_sort(F.collect_list(F.struct("phrase_no", "score"))).alias("scores")
     )
-    return per_chunk.filter("found = n_phrases").select("query_id", "chunk_id", (-F.col("score")).alias("rank"))
+    total = F.aggregate(F.col("scores.score"), F.lit(0.0), lambda acc, s: acc + s)
+    return per_chunk.filter(F.size("scores") == F.col("n_phrases")).select("query_id", "chunk_id", (-total).alias("rank"))
 
 
 def search(

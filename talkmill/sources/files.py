@@ -63,7 +63,7 @@ def json_items(content: Column) -> Column:
     Elements stay text because a VARIANT value has a size limit that whole exports exceed.
     """
     options = {"allowSingleQuotes": "false"}
-    is_array = content.rlike(f"^[{WS}]*\\[")
+    is_array = content.rlike(f"^[{WS}]*\\[") & content.rlike(f"\\][{WS}]*$")
     return F.when(is_array, F.from_json(content, "array<string>", options))
 
 
