@@ -32,41 +32,51 @@ class EmbeddingProvider:
     embed: Callable[[Column], Column]
 
 
-def _word_hash(word: str) -> tuple[int, int]:
-    """Hash and length of a word over UTF-16 units."""
-    units = np.frombuffer(word.encode("utf-16-le"), dtype="<u2").tolist()
-    h = HASH_SEED
-    for unit in units:
-        h = (h * 33 & 0xFFFFFFFF) ^ unit
-    return h, len(units)
-
-
-def _project(text: str, known: dict[str, tuple[int, int]]) -> np.ndarray:
-    words = [m.group() for m, _ in zip(_WORD.finditer(text), range(HASH_WORDS))]
-    vector = np.zeros(HASH_DIM)
-    if not words:
-        return vector
-    for w in words:
-        if w not in known:
-            known[w] = _word_hash(w)
-    hashes, sizes = np.array([known[w] for w in words], dtype=np.int64).T
-    index = np.arange(len(words), dtype=np.int64)
+def _hash_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and lengths of words over UTF-16 units, one character position at a time for all words."""
+    sizes = np.array([len(w.encode("utf-16-le")) // 2 for w in words])
+    order = np.argsort(-sizes, kind="stable")
+    units = np.frombuffer("".join(words[i] for i in order).encode("utf-16-le"), dtype="<u2").astype(np.uint64)
+    longest_first = sizes[order]
+    starts = np.cumsum(longest_first) - longest_first
+    hashes = np.full(len(words), HASH_SEED, dtype=np.uint64)
+    for place in range(longest_first[0]):
+        n = np.searchsorted(-longest_first, -place, side="left")
+        hashes[:n] = (hashes[:n] * 33 & 0xFFFFFFFF) ^ units[starts[:n] + place]
+    out = np.empty(len(words), dtype=np.int64)
+    out[order] = hashes.astype(np.int64)
+    return out, sizes
+
+
+def project_texts(texts: list[str]) -> np.ndarray:
+    """Unit vectors of a batch of texts; a text without words gives zeros."""
+    words = [_WORD.findall(t)[:HASH_WORDS] for t in texts]
+    counts = np.array([len(w) for w in words], dtype=np.int64)
+    flat = np.array([w for ws in words for w in ws], dtype=object)
+    if len(flat) == 0:
+        return np.zeros((len(texts), HASH_DIM))
+    codes, distinct = pd.factorize(flat)
+    known, lengths = _hash_words(distinct.tolist())
+    hashes, sizes = known[codes], lengths[codes]
+    owner = np.repeat(np.arange(len(texts)), counts)
+    index = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
     k = np.arange(HASH_SLOTS, dtype=np.int64)
     slots = (hashes[:, None] + k * 17 + index[:, None]) % HASH_DIM
     # The shift works on the signed 32-bit value, and the remainder keeps its sign.
     signed = hashes.astype(np.uint32).view(np.int32)
     rest = np.fmod(signed[:, None] >> (k * 8).astype(np.int32), 256)
     wave = np.sin(rest * 0.01) + np.cos((index + 1) * (sizes + 1) * 0.01)[:, None]
-    vector = np.bincount(slots.ravel(), weights=wave.ravel(), minlength=HASH_DIM)
-    norm = np.sqrt(np.sum(vector * vector))
-    return vector / (norm or 1.0)
+    cells = (owner[:, None] * HASH_DIM + slots).ravel()
+    vectors = np.bincount(cells, weights=wave.ravel(), minlength=len(texts) * HASH_DIM).reshape(len(texts), HASH_DIM)
+    norms = np.sqrt(np.sum(vectors * vectors, axis=1))
+    return vectors / np.where(norms == 0, 1.0, norms)[:, None]
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def hash_embedding(texts: pd.Series) -> pd.Series:
     """64-dimensional pseudo-embedding of each text; null stays null."""
-    known: dict[str, tuple[int, int]] = {}
-    return pd.Series([None if t is None else _project(t, known) for t in texts], dtype="object")
+    vectors = iter(project_texts(texts.dropna().tolist()))
+    return pd.Series([None if missing else next(vectors) for missing in texts.isna()], dtype="object")
 
 
 def hash_provider() -> EmbeddingProvider:
@@ -83,4 +93,4 @@ def parse_vector(raw: Column) -> Column:
         lambda v: F.when(v.isNull() | F.is_variant_null(v), F.lit(0.0)).otherwise(F.try_variant_get(v, "$", "double")),
     )
     usable = ~F.exists(numbers, lambda n: n.isNull() | F.isnan(n))
-    return F.when(usable, numbers)
+    return F.when(raw.rlike(r"(?s)^\s*\[.*\]\s*$") & usable, numbers)

@@ -20,7 +20,7 @@ TERM_START = r"\p{L}\p{N}\p{Co}"
 _MARKS = [*range(0x300, 0x305), *range(0x306, 0x30D), 0x30F, 0x311, 0x31B, *range(0x323, 0x329), 0x32D, 0x32E, 0x330,
           0x331]
 TERM_MARKS = "".join(map(chr, _MARKS))
-TERM_PATTERN = f"[{TERM_START}][{TERM_START}{TERM_MARKS}]*"
+TERM_PATTERN = f"[{TERM_START}]+(?:[{TERM_MARKS}][{TERM_START}{TERM_MARKS}]*)?"
 
 # What counts as a keyword word.
 KEYWORD_PATTERN = "[a-z0-9'-]+"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.numeric import round_half_up
+from talkmill.functions.rows import each
 from talkmill.functions.stopwords import default_stopwords
 from talkmill.functions.text import keyword_words, word_count
 from talkmill.schema import conform
@@ -49,7 +50,7 @@ def session_duration() -> Column:
 
 def keyword_counts(messages: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
     """session_id, word, n, first: counts of the words that may be keywords, and where each first stands."""
-    words = messages.select("session_id", "sort_order", F.posexplode(keyword_words(F.col("content_text"))).alias("pos", "word"))
+    words = each(messages, keyword_words(F.col("content_text")), "pos", "word", "session_id", "sort_order")
     usable = (
         (F.length("word") >= MIN_KEYWORD_CHARS)
         & ~F.col("word").rlike("^[0-9]+$")

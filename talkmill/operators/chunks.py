@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.functions.rows import each_struct
 from talkmill.functions.text import WINDOW_CHARS, WINDOW_OVERLAP, windows
 from talkmill.schema import SEARCH_INDEX_VERSION, conform, make_id
 
@@ -23,9 +24,9 @@ def build_chunks(
         "session_id", "message_id", F.col("id").alias("artifact_id"),
         F.lit("artifact").alias("chunk_type"), "content_text",
     )
-    parts = said.unionByName(made).select(
+    parts = each_struct(
+        said.unionByName(made), windows(F.col("content_text"), max_chars, overlap), "start_offset",
         "session_id", "message_id", "artifact_id", "chunk_type",
-        F.inline(windows(F.col("content_text"), max_chars, overlap)),
     )
     key = make_id("chunk", F.col("session_id"), F.col("message_id"), F.col("artifact_id"), F.col("start_offset"))
     return conform(parts.withColumn("id", key), "chunks")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.numeric import clamp01
+from talkmill.functions.rows import each
+from talkmill.functions.text import strip_ws
 from talkmill.operators.analytics import session_profiles
 from talkmill.schema import PATTERN_CATEGORIES, conform, make_id
 from talkmill.session import cut_lineage
@@ -152,7 +154,7 @@ def parse_profile_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]
         .otherwise(F.lit("Unknown")).alias("work_style"),
     )
     objects = F.filter(F.col("traits").cast("array<variant>"), lambda t: _is(t, "OBJECT") | _is(t, "ARRAY"))
-    listed = usable.select("batch_no", F.posexplode(objects).alias("trait_no", "t"))
+    listed = each(usable, objects, "trait_no", "t", "batch_no")
 
     def field(name: str) -> Column:
         return F.try_variant_get("t", f"$.{name}", "variant")
@@ -170,8 +172,6 @@ def parse_profile_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def _label_key() -> Column:
-    from talkmill.functions.text import strip_ws
-
     return strip_ws(F.lower("label"))
 
 
@@ -187,7 +187,7 @@ def merge_traits(traits: DataFrame) -> tuple[DataFrame, DataFrame]:
     fields = F.struct("label", "description", "category", "confidence", "impact_score")
     merged = keyed.groupBy("label_key").agg(F.min_by(fields, best).alias("t"), F.min(seq).alias("first"))
     merged = merged.select("label_key", "t.*", "first")
-    ids = keyed.select("label_key", "batch_no", "trait_no", F.posexplode("evidence_session_ids").alias("pos", "session_id"))
+    ids = each(keyed, F.col("evidence_session_ids"), "pos", "session_id", "label_key", "batch_no", "trait_no")
     evidence = ids.groupBy("label_key", "session_id").agg(F.min(F.struct("batch_no", "trait_no", "pos")).alias("first"))
     return merged, evidence
 

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.numeric import cosine, session_time
+from talkmill.functions.rows import each
 from talkmill.functions.text import phrase_regex, split_ws, terms
+from talkmill.session import broadcast_if_small
 
 # Ranking parameters of the search.
 BM25_K1 = 1.2
@@ -35,9 +37,9 @@ class TextIndex:
 
 def build_text_index(chunks: DataFrame) -> TextIndex:
     """Both parts are narrow: a window of text is bounded, so its terms are listed without a shuffle."""
-    listed = chunks.select(F.col("id").alias("chunk_id"), "session_id", "message_id", terms(F.col("text")).alias("terms"))
-    occurrences = listed.select("chunk_id", F.posexplode("terms").alias("pos", "term"))
-    docs = listed.select("chunk_id", "session_id", "message_id", F.size("terms").alias("dl"))
+    chunk_id, listed = F.col("id").alias("chunk_id"), terms(F.col("text"))
+    occurrences = each(chunks, listed, "pos", "term", chunk_id)
+    docs = chunks.select(chunk_id, "session_id", "message_id", F.size(listed).alias("dl"))
     return TextIndex(occurrences.select("term", "chunk_id", "pos"), docs)
 
 
@@ -72,44 +74,42 @@ def postings(index: TextIndex) -> DataFrame:
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
-    """(query_id, phrase_no, n_phrases, n_terms, term_no, term) of each search string.
+    """(query_id, phrase_no, n_phrases, phrase, n_terms, term_no, term) of each search string.
 
     Every white-space token is a phrase; a token with punctuation has several terms that must stand side by
     side. A token without any term is dropped; a blank string gives no row.
     """
     phrases = F.filter(F.transform(split_ws(F.col("text")), lambda t: terms(t)), lambda p: F.size(p) > 0)
     listed = queries.select("query_id", phrases.alias("phrases"))
-    exploded = listed.select(
-        "query_id", F.size("phrases").alias("n_phrases"), F.posexplode("phrases").alias("phrase_no", "terms")
-    )
-    return exploded.select(
-        "query_id", "phrase_no", "n_phrases", F.size("terms").alias("n_terms"),
-        F.posexplode("terms").alias("term_no", "term"),
-    )
+    n_phrases, n_terms = F.size("phrases").alias("n_phrases"), F.size("terms").alias("n_terms")
+    exploded = each(listed, F.col("phrases"), "phrase_no", "terms", "query_id", n_phrases)
+    phrase = F.array_join("terms", " ").alias("phrase")
+    return each(exploded, F.col("terms"), "term_no", "term", "query_id", "phrase_no", "n_phrases", phrase, n_terms)
 
 
-def _phrase_hits(index: TextIndex, queries: DataFrame) -> DataFrame:
-    """query_id, phrase_no, n_phrases, chunk_id, tf for each chunk that holds the phrase.
+def _phrase_hits(index: TextIndex, wanted: DataFrame) -> DataFrame:
+    """(phrase, chunk_id, tf) for each chunk that holds a phrase. A phrase many queries ask for is found once.
 
     A phrase starts at ``pos - term_no`` of each of its terms; it is there when all terms agree on a start.
-    One shuffle by (query, chunk) serves every aggregate below; such a group is as small as a chunk.
+    A single term needs no start, so its occurrences are already counted before the shuffle.
     """
     occurrences = index.occurrences
-    wanted = query_phrases(queries)
+    parts = wanted.select("phrase", "n_terms", "term_no", "term").distinct()
     if index.buckets:
         # At most ``buckets`` small numbers reach the driver; they become a static partition filter.
-        needed = [r[0] for r in wanted.select(_bucket(index.buckets)).distinct().collect()]
+        needed = [r[0] for r in parts.select(_bucket(index.buckets)).distinct().collect()]
         occurrences = occurrences.filter(F.col("bucket").isin(needed)).drop("bucket")
-    matched = occurrences.join(wanted, "term")
-    starts = matched.select(
-        "query_id", "chunk_id", "phrase_no", "n_phrases", "n_terms", (F.col("pos") - F.col("term_no")).alias("start")
-    ).repartition("query_id", "chunk_id")
-    whole = (
-        starts.groupBy("query_id", "chunk_id", "phrase_no", "n_phrases", "n_terms", "start")
+    single = F.col("n_terms") == 1
+    start = F.when(~single, F.col("pos") - F.col("term_no")).alias("start")
+    found = (
+        occurrences.join(broadcast_if_small(parts), "term")
+        .select("phrase", "chunk_id", "n_terms", start)
+        .groupBy("phrase", "chunk_id", "n_terms", "start")
         .agg(F.count("*").alias("n"))
-        .filter("n = n_terms")
+        .filter(single | (F.col("n") == F.col("n_terms")))
     )
-    return whole.groupBy("query_id", "chunk_id", "phrase_no", "n_phrases").agg(F.count("*").alias("tf"))
+    times = F.when(single, F.col("n")).otherwise(F.lit(1))
+    return found.groupBy("phrase", "chunk_id").agg(F.sum(times).alias("tf"))
 
 
 def _ranked(rows: DataFrame, limit: int, *order: Column | str) -> DataFrame:
@@ -118,31 +118,33 @@ def _ranked(rows: DataFrame, limit: int, *order: Column | str) -> DataFrame:
 
 
 def match_chunks(index: TextIndex, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """(query_id, chunk_id, rank) of chunks with every phrase; more negative is better.
+    """Chunks with every phrase of a query, with their rank; more negative is better.
 
     The corpus statistics are those of the whole index, whatever filter follows.
     """
-    hits = _phrase_hits(index, queries)
-    n_hits = hits.groupBy("query_id", "phrase_no").agg(F.count("*").alias("n_hits"))
+    wanted = query_phrases(queries)
+    hits = _phrase_hits(index, wanted)
+    n_hits = hits.groupBy("phrase").agg(F.count("*").alias("n_hits"))
     corpus = index.docs.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))).scalar()
     idf = F.log((F.col("c.n") - F.col("n_hits") + 0.5) / (F.col("n_hits") + 0.5))
     idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
-    weights = n_hits.withColumn("c", corpus).select(
-        "query_id", "phrase_no", idf.alias("idf"), F.col("c.avgdl").alias("avgdl")
-    )
+    weights = n_hits.withColumn("c", corpus).select("phrase", idf.alias("idf"), F.col("c.avgdl").alias("avgdl"))
     tf = F.col("tf").cast("double")
     saturation = tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     scored = (
-        hits.join(weights, ["query_id", "phrase_no"])
-        .join(index.docs.select("chunk_id", "dl"), "chunk_id")
+        hits.join(weights, "phrase")
+        .join(index.docs, "chunk_id")
         .withColumn("score", F.col("idf") * (tf * (k1 + 1)) / saturation)
     )
+    asked = wanted.filter("term_no = 0").select("query_id", "phrase_no", "n_phrases", "phrase")
     # A query has few phrases. Adding their scores in phrase order gives equal texts equal ranks.
-    per_chunk = scored.groupBy("query_id", "chunk_id", "n_phrases").agg(
+    per_chunk = scored.join(asked, "phrase").groupBy("query_id", "chunk_id", "n_phrases", "session_id", "message_id").agg(
         F.array_sort(F.collect_list(F.struct("phrase_no", "score"))).alias("scores")
     )
     total = F.aggregate(F.col("scores.score"), F.lit(0.0), lambda acc, s: acc + s)
-    return per_chunk.filter(F.size("scores") == F.col("n_phrases")).select("query_id", "chunk_id", (-total).alias("rank"))
+    return per_chunk.filter(F.size("scores") == F.col("n_phrases")).select(
+        "query_id", "chunk_id", "session_id", "message_id", (-total).alias("rank")
+    )
 
 
 def search(
@@ -175,7 +177,6 @@ def search(
         origin = origin.filter(F.col("source_type") == source_type)
     placed = (
         match_chunks(index, queries, k1, b)
-        .join(index.docs.select("chunk_id", "session_id", "message_id"), "chunk_id")
         .join(home.drop("day"), "session_id")
         .join(origin, "source_id")
     )

@@ -12,6 +12,7 @@ from talkmill.operators import search as se
 from talkmill.plans.oracle_views import sql_round, sql_terms, sql_words, with_views
 from talkmill.plans.registry import query
 from talkmill.plans.testbed import Testbed
+from talkmill.session import cut_lineage
 
 # Search strings: common words, words that must stand together, a repeated word, punctuation alone, a blank one.
 SEARCHES = [
@@ -52,6 +53,12 @@ def searches(t: Testbed) -> DataFrame:
     return t.spark.createDataFrame(SEARCHES, "query_id string, text string")
 
 
+def text_index(t: Testbed) -> se.TextIndex:
+    """The index of all chunks. Its document table, read several times by a search, is stored first."""
+    index = se.build_text_index(t.chunks)
+    return se.TextIndex(index.occurrences, cut_lineage(index.docs))
+
+
 def hits_sql(limit: int, where: str = "true") -> str:
     return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS position
                FROM v_hits WHERE {where}) WHERE position <= {limit}"""
@@ -104,7 +111,7 @@ def query_phrases(t: Testbed) -> DataFrame:
 
 @query("bm25_search", with_views(f"SELECT {HIT_COLS}, {sql_round('rank')} AS rank FROM ({hits_sql(50)})", SEARCH_VIEWS))
 def bm25_search(t: Testbed) -> DataFrame:
-    index = se.build_text_index(t.chunks)
+    index = text_index(t)
     hits = se.search(index, t.chunks, t.sessions, t.sources, searches(t))
     return hits.drop("snippet", "position")
 
@@ -114,7 +121,7 @@ FILTER = "source_type = 'claude' AND day BETWEEN date '2024-01-03' AND date '202
 
 @query("bm25_filtered", with_views(f"SELECT {HIT_COLS}, {sql_round('rank')} AS rank FROM ({hits_sql(10, FILTER)})", SEARCH_VIEWS))
 def bm25_filtered(t: Testbed) -> DataFrame:
-    index = se.build_text_index(t.chunks)
+    index = text_index(t)
     hits = se.search(
         index, t.chunks, t.sessions, t.sources, searches(t), 10, source_type="claude", date_from="2024-01-03", date_to="2024-01-25"
     )
@@ -132,7 +139,7 @@ def bm25_filtered(t: Testbed) -> DataFrame:
     ),
 )
 def search_snippets(t: Testbed) -> DataFrame:
-    index = se.build_text_index(t.chunks)
+    index = text_index(t)
     hits = se.search(index, t.chunks, t.sessions, t.sources, searches(t), 5)
     return se.decorate_hits(hits, searches(t)).select("query_id", "chunk_id", "marked")
 
@@ -147,7 +154,7 @@ def search_snippets(t: Testbed) -> DataFrame:
     ),
 )
 def hit_targets(t: Testbed) -> DataFrame:
-    index = se.build_text_index(t.chunks)
+    index = text_index(t)
     hits = se.search(index, t.chunks, t.sessions, t.sources, searches(t), 20)
     return ch.resolve_hits(hits, t.chunks).select("query_id", "chunk_id", "target_id", "target_type")
 
@@ -172,7 +179,7 @@ def hybrid_search(t: Testbed) -> DataFrame:
         F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query_id"), F.col("embedding").alias("vector")
     )
     asked = searches(t).join(vectors, "query_id")
-    index = se.build_text_index(t.chunks)
+    index = text_index(t)
     hits = se.hybrid_search(index, t.chunk_vectors, t.sessions, t.sources, asked, limit=20)
     return hits.select("query_id", "chunk_id", "rank", "score")
 
@@ -287,7 +294,7 @@ def stale_batches(t: Testbed) -> DataFrame:
                                               lambda h, c: (h * 31 + c) & 4294967295) AS h FROM documents)""",
 )
 def fingerprints(t: Testbed) -> DataFrame:
-    return t.table("documents").select(
+    return t.texts("documents").select(
         F.col("doc_id").cast("string").alias("id"), fingerprint(F.col("text")).alias("sha256"),
         fingerprint(F.col("text"), "poly32").alias("poly32"),
     )

@@ -33,6 +33,14 @@ class Testbed:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """A table with long texts. A small input that has fewer splits than there are cores is spread over them;
+        an input with many splits is left as it is, and nothing is shuffled.
+        """
+        df = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
     @cached_property
     def messages(self) -> DataFrame:
         base = F.lit("2024-01-01 00:00:00").cast("timestamp")
@@ -50,7 +58,7 @@ class Testbed:
     @cached_property
     def all_messages(self) -> DataFrame:
         """The messages, and every document as a later user message of some session."""
-        docs = self.table("documents").select(
+        docs = self.texts("documents").select(
             F.concat(F.lit("d"), _s("doc_id")).alias("id"), _s(F.col("doc_id") % 100).alias("session_id"),
             F.lit("user").alias("role"), F.col("text").alias("content_text"),
             (F.col("doc_id") + 1000).alias("sort_order"),
@@ -112,7 +120,7 @@ class Testbed:
         doc = F.col("doc_id")
         session = _s(doc % 100)
         return conform(
-            self.table("documents").select(
+            self.texts("documents").select(
                 F.concat(F.lit("a"), _s(doc)).alias("id"), session.alias("session_id"),
                 F.when(doc % 2 == 1, F.concat(session, F.lit("-0"))).alias("message_id"),
                 F.lit("markdown").alias("artifact_type"), F.col("source").alias("title"),

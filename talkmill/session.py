@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "talkmill", cores: str = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -35,3 +36,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Store the rows reliably, so that a later stage never recomputes them in another order."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# A broadcast side is held by every executor, so its rows are counted first.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when the rows, counted up to the bound, fit it; else leave a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

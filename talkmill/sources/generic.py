@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.functions.rows import each
 from talkmill.functions.text import WS, fingerprint, strip_ws
 from talkmill.schema import conform, make_id
 from talkmill.sources.files import Ingested, is_markdown_name, json_items
@@ -28,18 +29,14 @@ def json_conversations(files: DataFrame) -> DataFrame:
     flat = F.coalesce(F.array_contains(keys, "content") & ~F.array_contains(keys, "messages"), F.lit(False))
     single = F.array_contains(F.json_object_keys("content"), "messages")
     shaped = files.withColumn("items", items).withColumn("flat", flat)
-    convs = shaped.select(
-        "import_batch_id", "source_id", "file_hash",
-        F.when(F.col("flat"), "json_array").otherwise("json_wrapped").alias("mode"),
-        F.posexplode(
-            F.when(F.col("flat"), F.array(F.struct(F.lit(None).cast("string").alias("raw"), F.col("items"))))
-            .when(
-                F.col("items").isNotNull(),
-                F.transform("items", lambda i: F.struct(i.alias("raw"), F.lit(None).cast("array<string>").alias("items"))),
-            )
-            .when(single, F.array(F.struct(F.col("content").alias("raw"), F.lit(None).cast("array<string>").alias("items"))))
-        ).alias("index", "conv"),
+    no_text, no_items = F.lit(None).cast("string").alias("raw"), F.lit(None).cast("array<string>").alias("items")
+    layouts = (
+        F.when(F.col("flat"), F.array(F.struct(no_text, F.col("items"))))
+        .when(F.col("items").isNotNull(), F.transform("items", lambda i: F.struct(i.alias("raw"), no_items)))
+        .when(single, F.array(F.struct(F.col("content").alias("raw"), no_items)))
     )
+    mode = F.when(F.col("flat"), "json_array").otherwise("json_wrapped").alias("mode")
+    convs = each(shaped, layouts, "index", "conv", "import_batch_id", "source_id", "file_hash", mode)
     wrapped = F.from_json(F.col("conv.raw"), _WRAPPED_TYPE, _OPTIONS)
     parsed = convs.withColumn("w", wrapped).withColumn("texts", F.coalesce("conv.items", "w.messages"))
     messages = F.transform("texts", lambda t: F.from_json(t, _MESSAGE_TYPE, _OPTIONS))
@@ -130,7 +127,7 @@ def read_generic(files: DataFrame) -> Ingested:
         F.lit("conversation").alias("session_type"),
         F.create_map(F.lit("mode"), F.col("mode")).alias("metadata"),
     )
-    said = full.select("session_id", F.posexplode("messages").alias("sort_order", "m"))
+    said = each(full, F.col("messages"), "sort_order", "m", "session_id")
     messages = said.select(
         make_id("message", F.col("session_id"), F.col("sort_order")).alias("id"),
         "session_id",

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from talkmill.functions.rows import each
 from talkmill.functions.text import fingerprint, strip_ws
 from talkmill.schema import conform, make_id
 from talkmill.sources.files import Ingested, json_items
@@ -82,10 +83,7 @@ def _node_ok(node: Column) -> Column:
 
 def parse_conversations(files: DataFrame) -> DataFrame:
     """One row per conversation: file columns, index, its JSON text, parsed columns and ``valid``."""
-    items = files.select(
-        "import_batch_id", "source_id", "file_hash",
-        F.posexplode(json_items(F.col("content"))).alias("index", "raw"),
-    )
+    items = each(files, json_items(F.col("content")), "index", "raw", "import_batch_id", "source_id", "file_hash")
     options = {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
     parsed = items.withColumn("conv", F.from_json("raw", CONVERSATION_TYPE, options))
     valid = (
@@ -172,9 +170,8 @@ def extract_code_artifacts(messages: DataFrame) -> DataFrame:
         F.regexp_extract_all("content_text", F.lit(CODE_FENCE), F.lit(1)).alias("lang"),
         F.regexp_extract_all("content_text", F.lit(CODE_FENCE), F.lit(2)).alias("body"),
     )
-    rows = messages.filter(F.contains("content_text", F.lit("```"))).select(
-        "id", "session_id", F.posexplode(blocks).alias("block_no", "block")
-    )
+    fenced = messages.filter(F.contains("content_text", F.lit("```")))
+    rows = each(fenced, blocks, "block_no", "block", "id", "session_id")
     lang = F.nullif(F.col("block.lang"), F.lit(""))
     return rows.select(
         make_id("artifact", F.col("id"), F.col("block_no")).alias("id"),
@@ -219,7 +216,7 @@ def read_tree_export(files: DataFrame) -> Ingested:
         F.lit("conversation").alias("session_type"),
     )
     said = (
-        full.select("session_id", F.posexplode("ordered").alias("sort_order", "m"))
+        each(full, F.col("ordered"), "sort_order", "m", "session_id")
         .withColumn("content_text", message_text(F.col("m.content")))
         .filter(F.col("content_text") != "")
     )
