@@ -13,7 +13,7 @@ def round_half_up(value: Column, digits: int = 0) -> Column:
 
 
 def clamp01(value: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
+    return F.when(value.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
 
 
 def session_time(started: str = "started_at", created: str = "created_at") -> Column:

@@ -20,6 +20,8 @@ MAX_PROJECTS = 400
 
 # Thresholds tried before the asked one, while fewer pairs than wanted are found.
 DESCENT = [0.999, 0.97, 0.9, 0.8, 0.7]
+# Fewer projects than this are compared at the asked threshold at once.
+FEW_PROJECTS = 1000
 _EPS = 1e-9
 _EMPTY_WORD = ""
 
@@ -217,9 +219,11 @@ def merge_candidates(
     features = scoring_features(projects)
     keep = None if max_pairs is None else max_pairs + 1
     order = [F.desc("score_combined"), *_PAIR]
-    small = max_projects is not None and max_projects <= MAX_PROJECTS
+    small = max_projects is not None and max_projects <= FEW_PROJECTS
     if max_pairs is not None and not small:
         features = cut_lineage(features)
+        small = features.count() <= FEW_PROJECTS
+    if max_pairs is not None and not small:
         for threshold in [t for t in DESCENT if t > min_combined]:
             best = cut_lineage(_pairs_at(features, threshold, keep).orderBy(*order).limit(max_pairs))
             if best.count() == max_pairs:

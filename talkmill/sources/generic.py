@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from talkmill.functions.rows import each
 from talkmill.functions.text import WS, fingerprint, strip_ws
 from talkmill.schema import conform, make_id
+from talkmill.session import cut_lineage
 from talkmill.sources.files import Ingested, is_markdown_name, json_items
-from talkmill.sources.tree_export import EXPORT_ROLES, _kind, _text, _warning
+from talkmill.sources.tree_export import EXPORT_ROLES, _kind, _text, warning_rows
 
 # A transcript's header line.
 HEADER_ROLES = "User|Assistant|System|Tool"
@@ -111,10 +112,10 @@ def markdown_conversations(files: DataFrame) -> DataFrame:
 
 
 def read_generic(files: DataFrame) -> Ingested:
+    """Parse once, store the conversations, and take every table from them."""
     markdown = is_markdown_name(F.col("file_name"))
     convs = json_conversations(files.filter(~markdown)).unionByName(markdown_conversations(files.filter(markdown)))
-    rejected = convs.filter(~F.col("valid"))
-    empty = convs.filter(F.col("valid") & (F.size("messages") <= 0))
+    convs = cut_lineage(convs)
     full = convs.filter(F.col("valid") & (F.size("messages") > 0)).withColumn(
         "session_id", make_id("session", F.col("file_hash"), F.col("index"))
     )
@@ -141,19 +142,15 @@ def read_generic(files: DataFrame) -> Ingested:
         "sort_order",
     )
     at_index = F.concat(F.lit(" at index "), F.col("index").cast("string"))
-    warnings = (
-        _warning(rejected, "GENERIC_CONVERSATION_PARSE_ERROR", F.concat(F.lit("Failed to parse conversation"), at_index))
-        .unionByName(
-            _warning(empty, "GENERIC_EMPTY_CONVERSATION", F.concat(F.lit("Conversation"), at_index, F.lit(" has no messages")))
-        )
-        .unionByName(
-            _warning(
-                empty.filter("mode = 'markdown'"), "GENERIC_MARKDOWN_NO_MESSAGES",
-                F.lit("No ## User/## Assistant sections found in markdown file"),
-            )
-        )
+    empty = F.col("valid") & (F.size("messages") <= 0)
+    warnings = warning_rows(
+        convs,
+        (~F.col("valid"), "GENERIC_CONVERSATION_PARSE_ERROR", F.concat(F.lit("Failed to parse conversation"), at_index)),
+        (
+            empty & (F.col("mode") == "markdown"), "GENERIC_MARKDOWN_NO_MESSAGES",
+            F.lit("No ## User/## Assistant sections found in markdown file"),
+        ),
+        (empty, "GENERIC_EMPTY_CONVERSATION", F.concat(F.lit("Conversation"), at_index, F.lit(" has no messages"))),
     )
     artifacts = conform(full.select(F.lit(None).cast("string").alias("id")).filter(F.lit(False)), "artifacts")
-    return Ingested(
-        conform(sessions, "sessions"), conform(messages, "messages"), artifacts, conform(warnings, "parse_warnings")
-    )
+    return Ingested(conform(sessions, "sessions"), conform(messages, "messages"), artifacts, warnings)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.schema import SEARCH_INDEX_VERSION, conform, make_id
+from talkmill.session import cut_lineage
 from talkmill.sources.files import Adapter, Ingested, default_adapters, route_files
 
 
@@ -82,9 +83,12 @@ def import_files(
     as_of: Column,
     adapters: list[Adapter] | None = None,
 ) -> ImportRun:
-    """Route, deduplicate and read files (file_name, content) into canonical rows."""
+    """Route, deduplicate and read files (file_name, content) into canonical rows.
+
+    The routed files are stored once, since telling formats apart reads every file whole.
+    """
     adapters = adapters or default_adapters()
-    routed = route_files(files, adapters)
+    routed = cut_lineage(route_files(files, adapters))
     known = routed.filter(F.col("adapter_key").isNotNull())
     unknown = routed.filter(F.col("adapter_key").isNull())
     taken, duplicates = dedupe_batches(known, existing_batches)

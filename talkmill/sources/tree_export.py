@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from talkmill.functions.rows import each
 from talkmill.functions.text import fingerprint, strip_ws
 from talkmill.schema import conform, make_id
+from talkmill.session import cut_lineage
 from talkmill.sources.files import Ingested, json_items
 
 # Leaves are VARIANT, so that a value of a wrong type is seen as such instead of being converted.
@@ -184,32 +185,29 @@ def extract_code_artifacts(messages: DataFrame) -> DataFrame:
     )
 
 
-def _warning(rows: DataFrame, code: str, message: Column) -> DataFrame:
-    return rows.select(
-        "import_batch_id",
-        F.lit(code).alias("code"),
-        message.alias("message"),
-        F.create_map(F.lit("index"), F.col("index").cast("string")).alias("context"),
-    )
+def warning_rows(conversations: DataFrame, *checks: tuple[Column, str, Column]) -> DataFrame:
+    """parse_warnings rows: a conversation gives one for each (condition, code, message) that holds."""
+    found = F.array_compact(F.array(*[
+        F.when(condition, F.struct(F.lit(code).alias("code"), message.alias("message")))
+        for condition, code, message in checks
+    ]))
+    context = F.create_map(F.lit("index"), F.col("index").cast("string")).alias("context")
+    rows = each(conversations, found, "n", "w", "import_batch_id", context)
+    return conform(rows.select("import_batch_id", "w.code", "w.message", "context"), "parse_warnings")
 
 
 def read_tree_export(files: DataFrame) -> Ingested:
-    parsed = parse_conversations(files)
-    rejected = parsed.filter(~F.col("valid"))
-    good = linearize_tree(parsed.filter("valid"))
-    title = F.coalesce(_text(F.col("conv.title")), F.lit(DEFAULT_TITLE))
-    convs = good.select(
-        "import_batch_id", "source_id", "index", "ordered",
+    """Parse once, store the conversations, and take every table from them."""
+    parsed = linearize_tree(parse_conversations(files))
+    convs = cut_lineage(parsed.select(
+        "import_batch_id", "source_id", "index", "valid", "ordered",
         make_id("session", F.col("file_hash"), F.col("index")).alias("session_id"),
         F.coalesce(_text(F.col("conv.conversation_id")), _text(F.col("conv.id"))).alias("external_id"),
-        title.alias("title"),
+        F.coalesce(_text(F.col("conv.title")), F.lit(DEFAULT_TITLE)).alias("title"),
         _seconds_to_time(_number(F.col("conv.create_time"))).alias("started_at"),
         _seconds_to_time(_number(F.col("conv.update_time"))).alias("ended_at"),
-    )
-    no_root = convs.filter(F.col("ordered").isNull())
-    empty = convs.filter(F.coalesce(F.size("ordered"), F.lit(0)) <= 0)
-    full = convs.filter(F.size("ordered") > 0)
-
+    ))
+    full = convs.filter(F.col("valid") & (F.size("ordered") > 0))
     sessions = full.select(
         F.col("session_id").alias("id"), "source_id", "import_batch_id", "external_id",
         F.nullif("title", F.lit("")).alias("title"), "started_at", "ended_at",
@@ -232,19 +230,20 @@ def read_tree_export(files: DataFrame) -> Ingested:
         "sort_order",
     )
     at_index = F.concat(F.lit(" at index "), F.col("index").cast("string"))
-    warnings = (
-        _warning(rejected, "CHATGPT_CONVERSATION_PARSE_ERROR", F.concat(F.lit("Failed to parse conversation"), at_index))
-        .unionByName(
-            _warning(no_root, "CHATGPT_NO_ROOT_NODE", F.concat(F.lit("No root node found in conversation"), at_index))
-        )
-        .unionByName(
-            _warning(
-                empty, "CHATGPT_EMPTY_CONVERSATION",
-                F.concat(F.lit('Conversation "'), F.col("title"), F.lit('"'), at_index, F.lit(" has no messages")),
-            )
-        )
+    none_ordered = F.coalesce(F.size("ordered"), F.lit(0)) <= 0
+    warnings = warning_rows(
+        convs,
+        (~F.col("valid"), "CHATGPT_CONVERSATION_PARSE_ERROR", F.concat(F.lit("Failed to parse conversation"), at_index)),
+        (
+            F.col("valid") & F.col("ordered").isNull(), "CHATGPT_NO_ROOT_NODE",
+            F.concat(F.lit("No root node found in conversation"), at_index),
+        ),
+        (
+            F.col("valid") & none_ordered, "CHATGPT_EMPTY_CONVERSATION",
+            F.concat(F.lit('Conversation "'), F.col("title"), F.lit('"'), at_index, F.lit(" has no messages")),
+        ),
     )
     return Ingested(
         conform(sessions, "sessions"), conform(messages, "messages"),
-        conform(extract_code_artifacts(messages), "artifacts"), conform(warnings, "parse_warnings"),
+        conform(extract_code_artifacts(messages), "artifacts"), warnings,
     )

@@ -12,7 +12,6 @@ from talkmill.functions.embedding import EmbeddingProvider
 from talkmill.operators.chunks import build_chunks
 from talkmill.operators.embeddings import with_embeddings
 from talkmill.operators.extraction import ExtractionProvider, extract_projects
-from talkmill.session import cut_lineage
 from talkmill.sources.files import BOM, Adapter
 from talkmill.sources.imports import import_files
 from talkmill.sources.store import TableStore
@@ -32,7 +31,6 @@ def ingest_batch(
     Everything a run writes replaces an earlier try of the same run, and only earlier runs are looked at, so
     a batch that Spark delivers again leaves the same rows.
     """
-    files = cut_lineage(files)
     old_sources = store.read("sources", before=run)
     got = import_files(files, old_sources, store.read("import_batches", before=run), as_of, adapters)
     new_sources = got.sources.join(old_sources.select("id"), "id", "left_anti")
