@@ -216,14 +216,10 @@ def merge_candidates(
     """
     if max_projects is not None:
         projects = projects.orderBy(F.desc("last_seen_at"), "id").limit(max_projects)
-    features = scoring_features(projects)
+    features = cut_lineage(scoring_features(projects))
     keep = None if max_pairs is None else max_pairs + 1
     order = [F.desc("score_combined"), *_PAIR]
-    small = max_projects is not None and max_projects <= FEW_PROJECTS
-    if max_pairs is not None and not small:
-        features = cut_lineage(features)
-        small = features.count() <= FEW_PROJECTS
-    if max_pairs is not None and not small:
+    if max_pairs is not None and features.count() > FEW_PROJECTS:
         for threshold in [t for t in DESCENT if t > min_combined]:
             best = cut_lineage(_pairs_at(features, threshold, keep).orderBy(*order).limit(max_pairs))
             if best.count() == max_pairs:
