@@ -269,33 +269,39 @@ def check_merges(requests: DataFrame, decisions: DataFrame, projects: DataFrame)
     survivor = status.select(F.col("id").alias("surviving_project_id"), F.col("status").alias("survivor_status"))
     merged = status.select(F.col("id").alias("merged_project_id"), F.col("status").alias("merged_status"))
     prior = decisions.select("merged_project_id", F.col("surviving_project_id").alias("prior_survivor"))
-    first = requests.groupBy("merged_project_id").agg(F.min_by("surviving_project_id", "seq").alias("first_survivor"))
-    survivors = requests.select(F.col("surviving_project_id").alias("merged_project_id")).distinct()
-    chained = survivors.join(requests.select("merged_project_id").distinct(), "merged_project_id", "left_semi")
-    chained_loser = chained.withColumn("loser_chained", F.lit(True))
-    chained_survivor = chained.select(
-        F.col("merged_project_id").alias("surviving_project_id"), F.lit(True).alias("survivor_chained")
-    )
     same = F.col("surviving_project_id") == F.col("merged_project_id")
-    verdict = (
+    alone = (
         F.when(same, "same_project")
         .when(F.col("prior_survivor") == F.col("surviving_project_id"), "repeat")
         .when(F.col("prior_survivor").isNotNull(), "merged_elsewhere")
         .when(F.col("survivor_status").isNull() | F.col("merged_status").isNull(), "unknown_project")
         .when(F.col("survivor_status") == "archived", "survivor_archived")
         .when(F.col("merged_status") == "archived", "merged_archived")
-        .when(F.col("loser_chained") | F.col("survivor_chained"), "chained_in_batch")
-        .when(F.col("first_survivor") != F.col("surviving_project_id"), "merged_elsewhere")
-        .otherwise("accept")
     )
     once = requests.groupBy("surviving_project_id", "merged_project_id").agg(F.min("seq").alias("seq"))
-    return (
+    judged = (
         once.join(prior, "merged_project_id", "left")
         .join(survivor, "surviving_project_id", "left")
         .join(merged, "merged_project_id", "left")
-        .join(first, "merged_project_id", "left")
-        .join(chained_loser, "merged_project_id", "left")
-        .join(chained_survivor, "surviving_project_id", "left")
+        .select("surviving_project_id", "merged_project_id", "seq", alone.alias("alone"))
+    )
+    # Only requests that are sound by themselves can stand in each other's way.
+    sound = judged.filter(F.col("alone").isNull())
+    first = sound.groupBy("merged_project_id").agg(F.min_by("surviving_project_id", "seq").alias("first_survivor"))
+    survivors = sound.select(F.col("surviving_project_id").alias("id")).distinct()
+    both = survivors.join(sound.select(F.col("merged_project_id").alias("id")).distinct(), "id", "left_semi")
+    loser = both.select(F.col("id").alias("merged_project_id"), F.lit(True).alias("loser_chained"))
+    keeper = both.select(F.col("id").alias("surviving_project_id"), F.lit(True).alias("survivor_chained"))
+    verdict = (
+        F.when(F.col("alone").isNotNull(), F.col("alone"))
+        .when(F.col("loser_chained") | F.col("survivor_chained"), "chained_in_batch")
+        .when(F.col("first_survivor") != F.col("surviving_project_id"), "merged_elsewhere")
+        .otherwise("accept")
+    )
+    return (
+        judged.join(first, "merged_project_id", "left")
+        .join(loser, "merged_project_id", "left")
+        .join(keeper, "surviving_project_id", "left")
         .select("surviving_project_id", "merged_project_id", "seq", verdict.alias("verdict"))
     )
 
@@ -309,7 +315,7 @@ def apply_merges(
     as_of: Column,
 ) -> MergeResult:
     """Absorb projects into their survivors: links move, doubles go, the merged project is archived."""
-    checked = check_merges(requests, decisions, projects)
+    checked = cut_lineage(check_merges(requests, decisions, projects))
     accepted = checked.filter("verdict = 'accept'").select("surviving_project_id", "merged_project_id", "seq")
     gone = accepted.select(F.col("merged_project_id").alias("entity_id"), "surviving_project_id", "seq")
 

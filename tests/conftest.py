@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 def spark():
     from talkmill.session import build_session
 
-    session = build_session("talkmill-tests", "8", 4)
+    session = build_session("talkmill-tests", "8", 2)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
