@@ -25,11 +25,16 @@ def build_session(app: str = "talkmill", cores: str = "*", shuffle_partitions: i
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; fall back to a scratch folder only where none is set."""
-    if spark.sparkContext.getCheckpointDir() is not None:
+    """Use the shared folder the cluster names in spark.checkpoint.dir. Only a local session may do without."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    context.setCheckpointDir(folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -13,5 +13,7 @@ def spark():
 
     session = build_session("talkmill-tests", "8", 2)
     session.sparkContext.setLogLevel("ERROR")
+    # The inputs are tiny: compiling a stage takes longer than running it.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
     session.stop()
