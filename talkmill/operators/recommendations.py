@@ -12,6 +12,7 @@ from talkmill.functions.text import strip_ws
 from talkmill.operators.dashboards import OPEN
 from talkmill.operators.provenance import latest_evidence
 from talkmill.schema import conform, make_id
+from talkmill.session import cut_lineage
 
 # Limits, scores and texts of the generators.
 STALLED_MIN_SESSIONS, STALLED_LIMIT = 3, 5
@@ -145,6 +146,8 @@ def generate_recommendations(candidates: list[DataFrame], evidence: DataFrame, e
     pooled = candidates[0]
     for c in candidates[1:]:
         pooled = pooled.unionByName(c)
+    # A few rows with a long history, used several times below.
+    pooled = cut_lineage(pooled)
     own = pooled.filter("entity_type = 'session'").select(
         "*", F.col("entity_id").alias("session_id"), F.lit(None).cast("string").alias("message_id"),
         F.lit(None).cast("string").alias("excerpt"),
