@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkmill.functions.numeric import round_half_up
 from talkmill.functions.rows import each
-from talkmill.functions.stopwords import default_stopwords
+from talkmill.functions.stopwords import STOPWORDS
 from talkmill.functions.text import keyword_words, word_count
 from talkmill.schema import conform
 
@@ -54,7 +54,7 @@ def keyword_counts(messages: DataFrame, stopwords: list[str] | None = None) -> D
     usable = (
         (F.length("word") >= MIN_KEYWORD_CHARS)
         & ~F.col("word").rlike("^[0-9]+$")
-        & ~F.col("word").isin(stopwords if stopwords is not None else default_stopwords())
+        & ~F.col("word").isin(stopwords if stopwords is not None else STOPWORDS)
     )
     # (sort_order, pos) packed in one long keeps the aggregate on the hash path.
     place = F.shiftleft(F.col("sort_order").cast("bigint"), 32) + F.col("pos")

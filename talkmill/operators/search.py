@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from talkmill.functions.numeric import cosine, session_time
 from talkmill.functions.rows import each
 from talkmill.functions.text import phrase_regex, split_ws, terms
-from talkmill.session import broadcast_if_small
 
 # Ranking parameters of the search.
 BM25_K1 = 1.2
@@ -102,7 +101,7 @@ def _phrase_hits(index: TextIndex, wanted: DataFrame) -> DataFrame:
     single = F.col("n_terms") == 1
     start = F.when(~single, F.col("pos") - F.col("term_no")).alias("start")
     found = (
-        occurrences.join(broadcast_if_small(parts), "term")
+        occurrences.join(parts, "term")
         .select("phrase", "chunk_id", "n_terms", start)
         .groupBy("phrase", "chunk_id", "n_terms", "start")
         .agg(F.count("*").alias("n"))

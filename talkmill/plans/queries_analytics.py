@@ -7,8 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.functions.stopwords import CHAT_STOPWORDS
-from talkmill.functions.text import KEYWORD_PATTERN
+from talkmill.functions.stopwords import STOPWORDS
 from talkmill.operators import analytics as an
 from talkmill.operators import dashboards as da
 from talkmill.operators import provenance as pr
@@ -20,18 +19,6 @@ from talkmill.schema import empty_table
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
-def english_stopwords() -> list[str]:
-    """Spark's English stop words, read from the library itself, so that no session is needed."""
-    import zipfile
-    from pathlib import Path
-
-    import pyspark
-
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-
-
 METRICS = f"""
     SELECT s.id AS session_id, count(m.id) AS message_count,
            count(m.id) FILTER (m.role = 'user') AS user_msg_count,
@@ -44,14 +31,13 @@ METRICS = f"""
 
 
 def keywords_sql(messages: str) -> str:
-    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(english_stopwords()) | set(CHAT_STOPWORDS)))
-    pattern = KEYWORD_PATTERN.replace("'", "''")
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
     return f"""
     SELECT session_id, string_agg(word, ',' ORDER BY rn) AS top_keywords FROM (
       SELECT session_id, word, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, so, p) AS rn FROM (
         SELECT session_id, word, count(*) AS n, min(so * 10000000 + pos) // 10000000 AS so, min(so * 10000000 + pos) % 10000000 AS p
         FROM (SELECT session_id, sort_order::hugeint AS so, unnest(w) AS word, generate_subscripts(w, 1) AS pos
-              FROM (SELECT session_id, sort_order, regexp_extract_all(lower(content_text), '{pattern}') AS w FROM {messages}))
+              FROM (SELECT session_id, sort_order, regexp_extract_all(lower(content_text), '[a-z0-9''-]+') AS w FROM {messages}))
         WHERE length(word) > 2 AND NOT regexp_full_match(word, '[0-9]+') AND word NOT IN ({stop})
         GROUP BY session_id, word))
     WHERE rn <= 15 GROUP BY session_id"""

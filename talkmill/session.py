@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "talkmill", cores: str = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -24,16 +23,22 @@ def build_session(app: str = "talkmill", cores: str = "*", shuffle_partitions: i
     return builder.getOrCreate()
 
 
+def use_folder_if_unset(spark: SparkSession, make: Callable[[], str]) -> None:
+    """Name a checkpoint folder on a local session that has none, as tests and benches need. A cluster names its own."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.conf.set("spark.checkpoint.dir", make())
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir. Only a local session may do without."""
+    """Use the shared folder that spark.checkpoint.dir names."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(folder)
 
 
@@ -41,12 +46,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Store the rows reliably, so that a later stage never recomputes them in another order."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-# A broadcast side is held by every executor, so its rows are counted first.
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the rows, counted up to the bound, fit it; else leave a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -62,13 +62,13 @@ def compare(spark, con, sf_dir: str, fn, sql: str) -> str | None:
 
 
 def main() -> int:
-    from talkmill.plans.registry import all_oracles, all_queries
+    from __spark_entry__ import oracle_sql, queries as all_queries
     from talkmill.session import build_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session("oracle-check", "8", 8)
     spark.sparkContext.setLogLevel("ERROR")
-    queries, oracles = all_queries(), all_oracles()
+    queries, oracles = all_queries(), oracle_sql()
     names = sys.argv[2:] or list(queries)
     con = connect(sf_dir)
     bad = 0

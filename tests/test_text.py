@@ -74,12 +74,11 @@ def test_normalized_words_fold_ligatures_and_full_width(spark):
     assert got == [["office", "ab"], [], ["x1", "y2"]]
 
 
-def test_stopwords_cover_both_lists(spark):
-    from talkmill.functions.stopwords import default_stopwords
+def test_stopwords():
+    from talkmill.functions.stopwords import STOPWORDS
 
-    words = default_stopwords()
-    assert {"the", "don't", "please", "www"} <= set(words)
-    assert len(words) == len(set(words))
+    assert {"the", "don't", "please", "www"} <= set(STOPWORDS)
+    assert len(STOPWORDS) == len(set(STOPWORDS))
 
 
 def test_phrase_regex_escapes(spark):
