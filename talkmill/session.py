@@ -28,7 +28,7 @@ def use_folder_if_unset(spark: SparkSession, make: Callable[[], str]) -> None:
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.conf.set("spark.checkpoint.dir", make())
+        spark.sparkContext.setCheckpointDir(make())
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

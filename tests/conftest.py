@@ -14,7 +14,7 @@ def spark():
 
     session = build_session("talkmill-tests", "8", 2)
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     # The inputs are tiny: compiling a stage takes longer than running it.
     session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
