@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,22 +40,52 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(text, GAPS), lambda w: w != "")
 
 
-#: Slots of the hit map: 2^23 bits in at most 131,072 rows of two longs, so a few MB at any input size.
+#: Bits of the hit map: 2^23 in at most 262,144 rows of two longs, so under 10 MB at any input size.
 MAP_BITS = 23
 
 
-def keep_possible(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = MAP_BITS) -> DataFrame:
-    """The rows whose key may be among the wanted keys, without a shuffle of the rows.
+def _marked(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int) -> DataFrame:
+    """The rows with ``__maybe``: whether their key may be among the wanted keys.
 
     The wanted keys are hashed into a map of 2^bits bits, whose size does not grow with the data, and that map is
-    broadcast. It never loses a wanted row; the few others that pass are left to the exact join that must follow.
+    broadcast. No wanted row is ever missed; an exact join must follow for the few others.
     """
     slot = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << bits))
+    bit = F.pow(F.lit(2.0), F.col("__slot") % 32).cast("bigint")
     words = (
         wanted.select(slot(wanted_key).alias("__slot"))
-        .groupBy(F.shiftright("__slot", 6).alias("__word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), (F.col("__slot") % 64).cast("int"))).alias("__bits"))
+        .groupBy(F.floor(F.col("__slot") / 32).alias("__word"))
+        .agg(F.bit_or(bit).alias("__bits"))
     )
-    marked = rows.withColumn("__slot", slot(key)).withColumn("__word", F.shiftright("__slot", 6))
-    hit = F.shiftright("__bits", (F.col("__slot") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return marked.join(F.broadcast(words), "__word").filter(hit).drop("__word", "__slot", "__bits")
+    placed = rows.withColumn("__slot", slot(key)).withColumn("__word", F.floor(F.col("__slot") / 32))
+    hit = F.coalesce(F.col("__bits"), F.lit(0)).bitwiseAND(bit) != 0
+    return placed.join(F.broadcast(words), "__word", "left").withColumn("__maybe", hit).drop("__word", "__slot", "__bits")
+
+
+def keep_possible(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = MAP_BITS) -> DataFrame:
+    """The rows whose key may be among the wanted keys, without a shuffle of the rows."""
+    return _marked(rows, key, wanted, wanted_key, bits).filter("__maybe").drop("__maybe")
+
+
+def without(rows: DataFrame, key: list[str], dropped: DataFrame, bits: int = MAP_BITS) -> DataFrame:
+    """The rows whose key columns are not in ``dropped``. Only rows that may be are shuffled."""
+    whole = F.struct(*key)
+    marked = _marked(rows, whole, dropped, whole, bits)
+    others = marked.filter(~F.col("__maybe")).drop("__maybe")
+    asked = marked.filter("__maybe").drop("__maybe")
+    named = dropped.select(*[F.col(k).alias(f"__d_{k}") for k in key])
+    same = [F.col(k).eqNullSafe(F.col(f"__d_{k}")) for k in key]
+    left = asked.join(named, same, "left_anti")
+    return others.unionByName(left)
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """The rows with ``__file`` and ``__row``, where their content stands: a hash of the file's path and the row's number in it.
+
+    Rows that do not come straight from files are first written to the shared folder.
+    """
+    place = {"__file": F.xxhash64("_metadata.file_path"), "__row": F.col("_metadata.row_index")}
+    try:
+        return docs.withColumns(place)
+    except AnalysisException:
+        return stored(docs, "located").withColumns(place)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import bpe, quality, urls
+from talkmill.llm import bpe, exact, packing, quality, urls
 from talkmill.llm.common import text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(text_or_empty("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+EXACT_SQL = """
+    SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+           sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+
+@query("op2_exact_dedup", EXACT_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group and the fate of every document."""
+    return exact.groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+@query("op4_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents; every window has the corpus's proportions of sources."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
