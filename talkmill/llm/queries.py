@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import bpe, exact, packing, quality, urls
+from talkmill.llm import bpe, chat, exact, packing, quality, urls
 from talkmill.llm.common import text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,49 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+CHAT_SQL = r"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+               UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+    k AS (SELECT *, len(regexp_extract_all(text, '\w+|[^\w\s]')) + 4 AS tokens,
+                 length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 24 AS chars FROM c),
+    s AS (SELECT *, row_number() OVER o - 1 AS no, sum(tokens) OVER o AS stop, first(role) OVER o = 'system' AS led,
+                 first(tokens) OVER o AS first_tokens FROM k WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+    r AS (SELECT *, stop - tokens AS start, 2048 - 256 - CASE WHEN led THEN least(first_tokens, 512) ELSE 0 END AS room FROM s),
+    p AS (SELECT *, start // floor(room * 0.75)::bigint AS at, floor(room * 0.75)::bigint AS stride FROM r),
+    w AS (SELECT conv_id, at, stop > at * stride + room AS part, min(start) AS begins FROM p GROUP BY ALL),
+    again AS (
+      SELECT p.conv_id, sum(p.chars) AS chars
+      FROM w JOIN p ON p.conv_id = w.conv_id AND w.begins > 0
+        AND CASE WHEN p.led AND p.no = 0 THEN true
+                 ELSE p.stop <= w.begins AND w.begins - p.start <= 256 AND p.tokens <= 256 END
+      GROUP BY p.conv_id)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           (sum(p.chars) + coalesce(max(again.chars), 0))::bigint AS formatted_chars
+    FROM p LEFT JOIN again USING (conv_id) GROUP BY conv_id"""
+
+
+@query("op1_chat_format", CHAT_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted windows."""
+    said = "<|im_end|><|im_start|>assistant ok"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    back = chat.read_back(chat.windows(turns))
+    pieces = back.select(
+        "conv_id", "window", F.size("turns").alias("n"), F.length("formatted").alias("chars"), F.array_join("targets", "").alias("loss"),
+        F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
+    )
+    # A digest of a whole conversation needs its text in one value; what is gathered is one value per window.
+    whole = pieces.groupBy("conv_id").agg(
+        F.sum("n").alias("n_turns"), F.array_sort(F.collect_list(F.struct("window", "said", "loss"))).alias("w"), F.sum("chars").alias("formatted_chars"),
+    )
+    said, loss = F.array_join("w.said", ""), F.array_join("w.loss", "")
+    return whole.select(
+        "conv_id", "n_turns", F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+    )
