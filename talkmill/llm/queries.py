@@ -126,8 +126,8 @@ CHAT_SQL = r"""
     s AS (SELECT *, row_number() OVER o - 1 AS no, sum(tokens) OVER o AS stop, first(role) OVER o = 'system' AS led,
                  first(tokens) OVER o AS first_tokens FROM k WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
     r AS (SELECT *, stop - tokens AS start, 2048 - 256 - CASE WHEN led THEN least(first_tokens, 512) ELSE 0 END AS room FROM s),
-    p AS (SELECT *, start // floor(room * 0.75)::bigint AS at, floor(room * 0.75)::bigint AS stride FROM r),
-    w AS (SELECT conv_id, at, stop > at * stride + room AS part, min(start) AS begins FROM p GROUP BY ALL),
+    p AS (SELECT *, start // floor(room * 0.75)::bigint AS lane, floor(room * 0.75)::bigint AS stride FROM r),
+    w AS (SELECT conv_id, lane, stop > lane * stride + room AS alone, min(start) AS begins FROM p GROUP BY ALL),
     again AS (
       SELECT p.conv_id, sum(p.chars) AS chars
       FROM w JOIN p ON p.conv_id = w.conv_id AND w.begins > 0
