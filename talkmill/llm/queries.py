@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import bpe, chat, exact, packing, quality, urls
-from talkmill.llm.common import text_or_empty
+from talkmill.llm import bpe, chat, exact, packing, quality, urls, warc
+from talkmill.llm.common import new_folder, stored, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,42 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "n_turns", F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+WARC_SQL = r"""
+    WITH p AS (SELECT page_id, coalesce(page_id // 4096, -1) AS r, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+    t AS (SELECT page_id, r, 'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl
+                 || 'WARC-Target-URI: ' || url || nl || 'Content-Type: text/html' || nl || 'Content-Length: ' || strlen(html) || nl || nl
+                 || html || nl || nl AS record
+          FROM p, (SELECT chr(13) || chr(10) AS nl)),
+    m AS (SELECT page_id, r || '-0' AS archive, row_number() OVER w - 1 AS no, strlen(record) AS size, sha256(record) AS hash,
+                 sum(strlen(record)) OVER w - strlen(record) AS pos FROM t WINDOW w AS (PARTITION BY r ORDER BY page_id)),
+    l1 AS (SELECT archive, no // 16 AS node, min(pos) AS pos, max(pos + size) AS stop,
+                  sha256(string_agg(pos::bigint || ':' || (pos + size)::bigint || ':' || hash, chr(10) ORDER BY no)) AS hash FROM m GROUP BY ALL),
+    l2 AS (SELECT archive, node // 16 AS node, min(pos) AS pos, max(stop) AS stop,
+                  sha256(string_agg(pos::bigint || ':' || stop::bigint || ':' || hash, chr(10) ORDER BY l1.node)) AS hash FROM l1 GROUP BY archive, l1.node // 16),
+    l3 AS (SELECT archive, sha256(string_agg(pos::bigint || ':' || stop::bigint || ':' || hash, chr(10) ORDER BY l2.node)) AS hash FROM l2 GROUP BY archive)
+    SELECT page_id, archive, no::bigint AS no, pos::bigint AS record_offset, size::bigint AS record_length, m.hash AS record_sha256,
+           page_id % 101 = 7 OR page_id % 2111 = 13 AS differs, l3.hash AS archive_root
+    FROM m JOIN l3 USING (archive)"""
+
+
+@query("op10_warc_fixity", WARC_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages in WARC archives, with what an audit finds against a replica in which a sign of some records is changed
+    (ids that leave 7 when divided by 101) and others are blank (13, by 2111)."""
+    rows = stored(warc.records(table(spark, sf_dir, "pages")), "records", "zstd")
+    store, replica = new_folder(spark, "store"), new_folder(spark, "replica")
+    warc.write_archives(rows, store)
+    size = F.octet_length("record").cast("int")
+    damaged = F.when(F.col("key") % 101 == 7, F.concat(F.lit("w"), F.expr("substring(record, 2)"))).when(
+        F.col("key") % 2111 == 13, F.repeat(F.lit(" "), size)).otherwise(F.col("record"))
+    warc.write_archives(rows.withColumn("record", damaged), replica)
+    manifest = rows.drop("record")
+    differ, roots = warc.audit(spark, manifest, store, replica)
+    found = differ.select("archive", "no", F.lit(True).alias("differs"))
+    return (
+        manifest.join(found, ["archive", "no"], "left").join(roots.select("archive", F.col("hash").alias("archive_root")), "archive")
+        .select(F.col("key").alias("page_id"), "archive", "no", F.col("offset").alias("record_offset"), F.col("length").alias("record_length"),
+                F.col("digest").alias("record_sha256"), F.coalesce("differs", F.lit(False)).alias("differs"), "archive_root")
+    )
