@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import bpe, chat, exact, packing, quality, urls, warc
+from talkmill.llm import bpe, chat, exact, jaccard, packing, quality, urls, warc
 from talkmill.llm.common import new_folder, stored, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("key").alias("page_id"), "archive", "no", F.col("offset").alias("record_offset"), F.col("length").alias("record_length"),
                 F.col("digest").alias("record_sha256"), F.coalesce("differs", F.lit(False)).alias("differs"), "archive_root")
     )
+
+
+@query("op8_ngram_jaccard")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under shingle similarity."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
