@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import bpe, chat, exact, jaccard, packing, quality, urls, warc
+from talkmill.llm import bpe, chat, exact, jaccard, lines, packing, quality, urls, warc
 from talkmill.llm.common import new_folder, stored, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +206,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document under shingle similarity."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op9_line_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines that are deleted, and a digest of the text that stays."""
+    return lines.deduplicate_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("n_deleted").alias("deleted_lines"), F.sha2(text_or_empty(), 256).alias("text_sha256")
+    )
