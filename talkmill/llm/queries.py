@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import bpe, chat, exact, jaccard, lines, packing, quality, urls, warc
+from talkmill.llm import bpe, chat, exact, jaccard, licences, lines, packing, quality, urls, warc
 from talkmill.llm.common import new_folder, stored, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +214,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicate_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", F.col("n_deleted").alias("deleted_lines"), F.sha2(text_or_empty(), 256).alias("text_sha256")
     )
+
+
+@query("op5_licence_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confirmed licence families of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return licences.families(docs, licences.train(spark, docs))
