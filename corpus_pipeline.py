@@ -21,7 +21,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass the current policy. Rows that repeat a key are judged by their own texts."""
     rows = located(docs).withColumn("__key", F.struct("__file", "__row"))
-    judged = quality.apply_policy(quality.ledger(rows, "__key"))
+    judged = quality.apply_policy(stored(quality.ledger(rows, "__key"), "ledger"))
     rejected = stored(judged.filter(~F.col("kept")).select("__key.__file", "__key.__row"), "rejected")
     return without(rows.drop("__key"), ["__file", "__row"], rejected).select(*docs.columns)
 
