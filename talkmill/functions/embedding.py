@@ -16,7 +16,6 @@ from talkmill.functions.text import WS
 
 # Shape of the hash projection.
 HASH_DIM = 64
-HASH_WORDS = 512
 HASH_SLOTS = 4
 HASH_SEED = 5381
 
@@ -48,9 +47,9 @@ def _hash_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def project_texts(texts: list[str]) -> np.ndarray:
-    """Unit vectors of a batch of texts; a text without words gives zeros."""
-    words = [_WORD.findall(t)[:HASH_WORDS] for t in texts]
+def project_texts(texts: list[str], max_words: int | None = None) -> np.ndarray:
+    """Unit vectors of a batch of texts, of all their words or the first ones; a text without words gives zeros."""
+    words = [_WORD.findall(t)[:max_words] for t in texts]
     counts = np.array([len(w) for w in words], dtype=np.int64)
     flat = np.array([w for ws in words for w in ws], dtype=object)
     if len(flat) == 0:
@@ -72,15 +71,19 @@ def project_texts(texts: list[str]) -> np.ndarray:
     return vectors / np.where(norms == 0, 1.0, norms)[:, None]
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def hash_embedding(texts: pd.Series) -> pd.Series:
+def hash_embedding(text: Column, max_words: int | None = None) -> Column:
     """64-dimensional pseudo-embedding of each text; null stays null."""
-    vectors = iter(project_texts(texts.dropna().tolist()))
-    return pd.Series([None if missing else next(vectors) for missing in texts.isna()], dtype="object")
 
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        vectors = iter(project_texts(texts.dropna().tolist(), max_words))
+        return pd.Series([None if missing else next(vectors) for missing in texts.isna()], dtype="object")
 
-def hash_provider() -> EmbeddingProvider:
-    return EmbeddingProvider("hash-projection-local-64", HASH_DIM, hash_embedding)
+    return embed(text)
+
+
+def hash_provider(max_words: int | None = None) -> EmbeddingProvider:
+    return EmbeddingProvider("hash-projection-local-64", HASH_DIM, lambda text: hash_embedding(text, max_words))
 
 
 def parse_vector(raw: Column) -> Column:

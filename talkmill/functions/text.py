@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,7 +77,7 @@ def windows(text: Column, max_chars: int = WINDOW_CHARS, overlap: int = WINDOW_O
 
 @F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+    return text.str.normalize("NFKC")
 
 
 def normalized_words(text: Column) -> Column:

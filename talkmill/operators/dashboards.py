@@ -14,8 +14,6 @@ HOT_DAYS, HOT_MOMENTUM = 7, 0.5
 WARM_DAYS, WARM_MOMENTUM = 30, 0.2
 UNKNOWN_DAYS = 999
 TREND_DAYS = 14
-TIMELINE_LIMIT = 5000
-TAGGED_SESSIONS = 200
 
 OPEN = "dismissed_at IS NULL AND accepted_at IS NULL"
 
@@ -92,9 +90,9 @@ def timeline(
     source_type: str | None = None,
     date_from: str | None = None,
     date_to: str | None = None,
-    limit: int = TIMELINE_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Sessions, newest first, with optional source and date range."""
+    """Sessions with optional source and date range; with a limit, the newest ones. The reader orders what it shows."""
     rows = _typed_sessions(sessions, sources).withColumn("at", session_time())
     if source_type:
         rows = rows.filter(F.col("source_type") == source_type)
@@ -102,7 +100,7 @@ def timeline(
         rows = rows.filter(F.to_date("at") >= F.lit(date_from).cast("date"))
     if date_to:
         rows = rows.filter(F.to_date("at") <= F.lit(date_to).cast("date"))
-    return rows.orderBy(F.desc("at"), "id").limit(limit)
+    return rows if limit is None else rows.orderBy(F.desc("at"), "id").limit(limit)
 
 
 def timeline_days(listed: DataFrame) -> DataFrame:
@@ -114,9 +112,10 @@ def timeline_days(listed: DataFrame) -> DataFrame:
     ).orderBy(F.desc("day"))
 
 
-def timeline_tags(listed: DataFrame, intelligence: DataFrame, newest: int = TAGGED_SESSIONS) -> DataFrame:
-    """The first linked project of each of the newest sessions."""
-    top = listed.orderBy(F.desc("at"), "id").limit(newest).select(F.col("id").alias("session_id"), "at")
+def timeline_tags(listed: DataFrame, intelligence: DataFrame, newest: int | None = None) -> DataFrame:
+    """The first linked project of each session, or of the newest ones."""
+    top = listed if newest is None else listed.orderBy(F.desc("at"), "id").limit(newest)
+    top = top.select(F.col("id").alias("session_id"), "at")
     projects = intelligence.filter("entity_type = 'project'")
     tags = top.join(projects, "session_id").groupBy("session_id").agg(
         F.min_by("label", "entity_id").alias("project_tag")

@@ -14,7 +14,7 @@ RECENT_MILLIS = 14 * 86_400_000
 STALLED_DAYS = 30
 PROJECT_TITLE_SESSIONS, PROJECT_TITLES = 5, 3
 THEME_TITLE_SESSIONS = 3
-DASH = chr(0x2014)
+DASH = "—"
 
 
 def _links(evidence: DataFrame, entity_type: str, sessions: DataFrame, as_of: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from talkmill.functions.numeric import session_time
 from talkmill.functions.text import strip_ws
 from talkmill.operators.provenance import sessions_missing_evidence
-from talkmill.schema import conform, make_id
+from talkmill.schema import conform, empty_table, make_id
 
 # Lengths, scores and explanations of the built-in extraction.
 TITLE_CHARS = 500
@@ -86,8 +86,8 @@ def extract_projects(
 
 def extract_nothing(sessions: DataFrame, messages: DataFrame, artifacts: DataFrame | None, as_of: Column) -> Extracted:
     """The provider that finds nothing."""
-    found = extract_projects(sessions, messages, artifacts, as_of)
-    return Extracted(found.projects.filter(F.lit(False)), found.evidence.filter(F.lit(False)))
+    spark = sessions.sparkSession
+    return Extracted(empty_table(spark, "projects"), empty_table(spark, "evidence_links"))
 
 
 def _evidence(rows: DataFrame, entity_type: str, entity_id: Column, explanation: str, as_of: Column) -> DataFrame:

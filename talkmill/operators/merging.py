@@ -12,16 +12,12 @@ from talkmill.functions.text import normalized_words, strip_ws
 from talkmill.schema import conform
 from talkmill.session import cut_lineage
 
-# Weights and limits of the scoring.
+# Weights and least score.
 TITLE_WEIGHT, DESCRIPTION_WEIGHT, TIME_WEIGHT = 0.5, 0.25, 0.25
 MIN_COMBINED = 0.55
-MAX_PAIRS = 500
-MAX_PROJECTS = 400
 
-# Thresholds tried before the asked one, while fewer pairs than wanted are found.
-DESCENT = [0.999, 0.97, 0.9, 0.8, 0.7]
-# Fewer projects than this are compared at the asked threshold at once.
-FEW_PROJECTS = 1000
+# Pairs that are wanted at most; a parameter of the jobs.
+MAX_PAIRS = 500
 _EPS = 1e-9
 _EMPTY_WORD = ""
 
@@ -153,15 +149,23 @@ def _pairs_at(features: DataFrame, threshold: float, keep: int | None) -> DataFr
     title = 1 - (1 - threshold) / TITLE_WEIGHT
     other = 1 - (1 - threshold) / DESCRIPTION_WEIGHT
     described = _first_members(features.filter(F.col("dw").isNotNull()), ["tw", "dw", "lo", "hi"], keep)
-    keyed, keys = _prefix_words(described, "tw", title, "w"), ["w"]
+    ordered = F.col("a_id") < F.col("b_id")
     if other > 0:
-        keyed, keys = _prefix_words_within(keyed, "dw", other, "v"), ["w", "v"]
-    left, right = keyed, keyed
-    if other >= 0.5:
-        left, right = _probe_cells(keyed, other), _home_cell(keyed, other)
-        keys = [*keys, "cls", "c_lo", "c_hi"]
-    joined = _side(left, "a", keys).join(_side(right, "b", keys), keys)
-    first = _scored(joined, threshold, F.col("a_id") < F.col("b_id"))
+        keyed, keys = _prefix_words_within(_prefix_words(described, "tw", title, "w"), "dw", other, "v"), ["w", "v"]
+        left, right = keyed, keyed
+        if other >= 0.5:
+            left, right = _probe_cells(keyed, other), _home_cell(keyed, other)
+            keys = [*keys, "cls", "c_lo", "c_hi"]
+        first = _scored(_side(left, "a", keys).join(_side(right, "b", keys), keys), threshold, ordered)
+    else:
+        # Titles are alike, or else description and time span both are: what titles lack, the other two must give.
+        alike = 2 * threshold - 0.8
+        both = 4 * (threshold - TITLE_WEIGHT * alike) - 1
+        by_title = _prefix_words(described, "tw", alike, "w")
+        first = _scored(_side(by_title, "a", ["w"]).join(_side(by_title, "b", ["w"]), ["w"]), threshold, ordered)
+        by_rest, keys = _prefix_words(described, "dw", both, "v"), ["v", "cls", "c_lo", "c_hi"]
+        left, right = _probe_cells(by_rest, both), _home_cell(by_rest, both)
+        first = first.unionByName(_scored(_side(left, "a", keys).join(_side(right, "b", keys), keys), threshold, ordered))
 
     # At least one without a description: its side is the left one.
     title = 1 - (1 - threshold) * two / TITLE_WEIGHT
@@ -185,24 +189,6 @@ def _prefix_words_within(keyed: DataFrame, words: str, least: float, out: str) -
     return keyed.join(by_id, "id")
 
 
-def _all_pairs(features: DataFrame, threshold: float, keep: int | None) -> DataFrame:
-    """Pairs for a threshold of one half or less, where projects without a common word may pass.
-
-    Rows are dealt into blocks and each pair of blocks meets in one task, so the work stays even. Reached
-    only when too few pairs score higher.
-    """
-    alike = features.withColumn("bare", F.col("dw").isNull())
-    rows = _first_members(alike, ["bare", "tw", "dw", "lo", "hi"], keep)
-    blocks = max(1, rows.count() // 2000 + 1)
-    rows = rows.withColumn("x", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = rows.withColumn("y", F.explode(others))
-    right = rows.withColumn("y", F.col("x")).drop("x").withColumn("x", F.explode(others))
-    keys = ["x", "y"]
-    joined = _side(left, "a", keys).join(_side(right, "b", keys), keys)
-    return _scored(joined, threshold, F.col("a_id") < F.col("b_id"))
-
-
 def merge_candidates(
     projects: DataFrame,
     min_combined: float = MIN_COMBINED,
@@ -211,21 +197,17 @@ def merge_candidates(
 ) -> DataFrame:
     """The best ``max_pairs`` unordered pairs that score ``min_combined`` or more; all of them with None.
 
-    With a limit, high thresholds are tried first: their blocking keys are narrow, and when they already
-    give enough pairs nothing lower can be among the best. The result is the same as scoring all pairs.
+    The result is the same as scoring all pairs. The least score must be above one half, so that every pair
+    shares a word or a span to meet on.
     """
+    if min_combined <= 0.5:
+        raise ValueError("min_combined must be above 0.5")
     if max_projects is not None:
         projects = projects.orderBy(F.desc("last_seen_at"), "id").limit(max_projects)
     features = cut_lineage(scoring_features(projects))
     keep = None if max_pairs is None else max_pairs + 1
     order = [F.desc("score_combined"), *_PAIR]
-    if max_pairs is not None and features.count() > FEW_PROJECTS:
-        for threshold in [t for t in DESCENT if t > min_combined]:
-            best = cut_lineage(_pairs_at(features, threshold, keep).orderBy(*order).limit(max_pairs))
-            if best.count() == max_pairs:
-                return best.orderBy(*order)
-    find = _pairs_at if min_combined > 0.5 else _all_pairs
-    found = find(features, min_combined, keep).orderBy(*order)
+    found = _pairs_at(features, min_combined, keep).orderBy(*order)
     return found if max_pairs is None else found.limit(max_pairs)
 
 
@@ -234,9 +216,9 @@ def recompute_candidates(
     as_of: Column,
     min_combined: float = MIN_COMBINED,
     max_pairs: int | None = MAX_PAIRS,
-    max_projects: int | None = MAX_PROJECTS,
+    max_projects: int | None = None,
 ) -> DataFrame:
-    """The candidate table, from the newest projects that are not archived."""
+    """The candidate table, from all projects that are not archived, or from the newest ones."""
     live = projects.filter("status <> 'archived'")
     pairs = merge_candidates(live, min_combined, max_pairs, max_projects)
     return conform(pairs.withColumn("computed_at", as_of), "project_merge_candidates")

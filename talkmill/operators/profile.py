@@ -27,31 +27,27 @@ PROMPT_TITLES = 20
 MAX_TOPICS = 10
 
 
-def _labels(intelligence: DataFrame, entity_type: str, keep: int) -> DataFrame:
-    """The number of a session's links of a type, and the first labels of them."""
+def _labels(intelligence: DataFrame, entity_type: str) -> DataFrame:
+    """All labels of a session's links of a type, in order of their ids, and their number."""
     links = intelligence.filter(F.col("entity_type") == entity_type)
-    counts = links.groupBy("session_id").agg(F.count("*").alias(f"{entity_type}_count"))
-    order = Window.partitionBy("session_id").orderBy("entity_id")
-    top = links.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= keep)
-    listed = top.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rn", "label"))).alias("l"))
-    return counts.join(listed.select("session_id", F.col("l.label").alias(f"linked_{entity_type}s")), "session_id")
+    listed = links.groupBy("session_id").agg(
+        F.count("*").alias(f"{entity_type}_count"), F.array_sort(F.collect_list(F.struct("entity_id", "label"))).alias("l")
+    )
+    return listed.select("session_id", f"{entity_type}_count", F.col("l.label").alias(f"linked_{entity_type}s"))
 
 
 def session_digests(
     sessions: DataFrame, messages: DataFrame, analytics: DataFrame, intelligence: DataFrame
 ) -> DataFrame:
-    """One digest per session. Linked labels are listed up to the digest's size, with their full number.
-
-    The whole list of links is ``session_intelligence``; it is not gathered into one record here.
-    """
+    """One digest per session, with all labels it is linked to; the compact batches cut them."""
     user = messages.filter("role = 'user'").select("session_id", "sort_order", F.substring("content_text", 1, SNIPPET_CHARS).alias("s"))
     first = user.groupBy("session_id").agg(F.min_by("s", "sort_order").alias("first_user"))
     none = F.array().cast("array<string>")
     rows = (
         sessions.select(F.col("id").alias("session_id"), F.coalesce("title", F.lit("Untitled")).alias("title"), "started_at")
         .join(session_profiles(analytics), "session_id", "left")
-        .join(_labels(intelligence, "project", DIGEST_PROJECTS), "session_id", "left")
-        .join(_labels(intelligence, "theme", DIGEST_THEMES), "session_id", "left")
+        .join(_labels(intelligence, "project"), "session_id", "left")
+        .join(_labels(intelligence, "theme"), "session_id", "left")
         .join(first, "session_id", "left")
     )
     zero = F.lit(0).cast("bigint")

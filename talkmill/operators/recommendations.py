@@ -24,7 +24,7 @@ SEED_TITLE = "Review speculative projects"
 SEED_RATIONALE = (
     "Speculative projects were created from your chat titles. Skim the list and archive or refine what still matters."
 )
-SEED_EXPLANATION = f"Grounded to your first project (or first session) {chr(0x2014)} stub recommendation for the MVP."
+SEED_EXPLANATION = "Grounded to your first project (or first session) — stub recommendation for the MVP."
 SEED_EXCERPT_CHARS = 200
 SECTIONS = [
     ("revive_stalled", "Stalled Projects"),
@@ -131,7 +131,7 @@ def revisit_candidates(
     rationale = F.concat(
         F.lit("This session from "), day, F.lit(" had "), F.col("message_count").cast("string"),
         F.lit(" messages and "), F.format_number("word_count", 0),
-        F.lit(f" words {chr(0x2014)} a substantial discussion worth revisiting."),
+        F.lit(" words — a substantial discussion worth revisiting."),
     )
     title = F.concat(F.lit("Revisit: "), F.substring(name, 1, NAME_CHARS))
     priority = F.least(F.lit(0.4) + F.col("word_count") / F.lit(10000), F.lit(0.75))
@@ -230,14 +230,22 @@ def open_recommendations(recommendations: DataFrame) -> DataFrame:
 def recommendations_by_section(recommendations: DataFrame, evidence: DataFrame) -> DataFrame:
     """Open recommendations in their six fixed sections, one row per link; an empty section keeps one row."""
     spark = recommendations.sparkSession
-    rows = [(i, kind, title) for i, (kind, title) in enumerate(SECTIONS)]
-    sections = spark.createDataFrame(rows, "section_no int, recommendation_type string, section string")
     links = evidence.filter("entity_type = 'recommendation'").select(
         F.col("entity_id").alias("id"), "session_id", "message_id", "excerpt",
         F.col("created_at").alias("evidence_at"),
     )
+    kind = F.col("recommendation_type")
+    number, title = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for i, (name, shown) in enumerate(SECTIONS):
+        number, title = F.when(kind == name, i).otherwise(number), F.when(kind == name, shown).otherwise(title)
     listed = recommendations.filter(OPEN).join(links, "id", "left")
-    return sections.join(listed, "recommendation_type", "left").orderBy(
+    listed = listed.withColumn("section_no", number).withColumn("section", title).filter("section_no IS NOT NULL")
+    # The sections in use are at most six rows; the others keep one row each.
+    used = recommendations.filter(OPEN).select("recommendation_type").distinct()
+    rows = [(i, name, shown) for i, (name, shown) in enumerate(SECTIONS)]
+    sections = spark.createDataFrame(rows, "section_no int, recommendation_type string, section string")
+    empty = sections.join(used, "recommendation_type", "left_anti")
+    return listed.unionByName(empty, allowMissingColumns=True).orderBy(
         "section_no", F.desc("priority_score"), F.desc("created_at"), "id", F.desc("evidence_at")
     )
 

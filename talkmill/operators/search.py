@@ -18,7 +18,6 @@ IDF_FLOOR = 1e-6
 SEARCH_LIMIT = 50
 HYBRID_ALPHA = 0.35
 CANDIDATE_MULTIPLIER = 3
-MAX_CANDIDATES = 500
 SNIPPET_CHARS = 320
 
 
@@ -59,9 +58,13 @@ def write_text_index(index: TextIndex, path: str, buckets: int = 256) -> None:
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/occurrences")
     )
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    sizes = index.docs.sparkSession.createDataFrame([(buckets,)], "buckets int")
+    sizes.write.mode("overwrite").parquet(f"{path}/buckets")
 
 
-def read_text_index(spark: SparkSession, path: str, buckets: int = 256) -> TextIndex:
+def read_text_index(spark: SparkSession, path: str) -> TextIndex:
+    """The stored index, with the number of buckets it was written with."""
+    buckets = spark.read.parquet(f"{path}/buckets").first()[0]
     return TextIndex(spark.read.parquet(f"{path}/occurrences"), spark.read.parquet(f"{path}/docs"), buckets)
 
 
@@ -195,19 +198,22 @@ def hybrid_search(
     queries: DataFrame,
     limit: int = SEARCH_LIMIT,
     alpha: float = HYBRID_ALPHA,
-    candidate_multiplier: int = CANDIDATE_MULTIPLIER,
+    pool: int | None = None,
     **filters,
 ) -> DataFrame:
-    """Rerank a lexical pool by vector similarity. ``queries`` has query_id, text and vector."""
-    pool_size = min(MAX_CANDIDATES, candidate_multiplier * limit)
-    pool = search(index, chunks, sessions, sources, queries.select("query_id", "text"), pool_size, **filters)
+    """Rerank a lexical pool by vector similarity. ``queries`` has query_id, text and vector.
+
+    The pool holds three times as many hits as wanted, or as many as the caller says, but never fewer than wanted.
+    """
+    pool_size = max(limit, CANDIDATE_MULTIPLIER * limit if pool is None else pool)
+    found = search(index, chunks, sessions, sources, queries.select("query_id", "text"), pool_size, **filters)
     per_query = Window.partitionBy("query_id")
     lo, hi = F.min("rank").over(per_query), F.max("rank").over(per_query)
     span = F.when(hi - lo == 0, F.lit(1.0)).otherwise(hi - lo)
     vectors = chunks.select(F.col("id").alias("chunk_id"), F.col("embedding").alias("vector"))
     asked = queries.select("query_id", F.col("vector").alias("asked"))
     scored = (
-        pool.withColumn("lexical", (hi - F.col("rank")) / span)
+        found.withColumn("lexical", (hi - F.col("rank")) / span)
         .join(vectors, "chunk_id", "left")
         .join(asked, "query_id", "left")
     )
@@ -221,7 +227,7 @@ def hybrid_search(
 def decorate_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """Mark the query's tokens in each snippet; a cut snippet ends with an ellipsis."""
     marked = F.regexp_replace(F.col("snippet"), phrase_regex(F.col("tokens")), F.lit("<mark>$1</mark>"))
-    tail = F.when(F.length("snippet") >= SNIPPET_CHARS, F.lit(chr(0x2026))).otherwise(F.lit(""))
+    tail = F.when(F.length("snippet") >= SNIPPET_CHARS, F.lit("…")).otherwise(F.lit(""))
     asked = queries.select("query_id", split_ws(F.col("text")).alias("tokens"))
     return (
         hits.join(asked, "query_id")

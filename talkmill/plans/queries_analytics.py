@@ -142,10 +142,9 @@ def recent_sessions(t: Testbed) -> DataFrame:
     return da.recent_sessions(t.sessions, t.sources, 20)
 
 
-def timeline_sql(where: str = "true", limit: int = 5000, sessions: str = "v_event_sessions") -> str:
+def timeline_sql(where: str = "true", sessions: str = "v_event_sessions") -> str:
     return f"""SELECT s.id, title, type AS source_type, coalesce(started_at, created_at) AS at_time
-               FROM {sessions} s JOIN v_sources src ON src.id = s.source_id WHERE {where}
-               ORDER BY at_time DESC, s.id LIMIT {limit}"""
+               FROM {sessions} s JOIN v_sources src ON src.id = s.source_id WHERE {where}"""
 
 
 TIMELINE_WHERE = (
@@ -182,7 +181,7 @@ INTELLIGENCE = """
     "timeline_tags",
     with_views(
         f"""SELECT t.id AS session_id, {sql_time('t.at_time')} AS at_time, arg_min(i.label, i.entity_id) AS project_tag
-            FROM ({timeline_sql(limit=200, sessions='v_sessions')}) t
+            FROM ({timeline_sql(sessions='v_sessions')}) t
             LEFT JOIN ({INTELLIGENCE}) i ON i.session_id = t.id AND i.entity_type = 'project' GROUP BY t.id, t.at_time"""
     ),
 )

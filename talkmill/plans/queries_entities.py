@@ -194,7 +194,7 @@ def best_pairs_sql(source: str, limit: int = 500) -> str:
 
 PAIR_COLS = f"""project_a_id, project_b_id, {sql_round('score')} AS score_combined, {sql_round('ti')} AS score_title,
     {sql_round('d')} AS score_description, {sql_round('o')} AS score_temporal"""
-NEWEST_400 = "(SELECT * FROM v_merge_input WHERE status <> 'archived' ORDER BY last_seen_at DESC, id LIMIT 400)"
+LIVE = "(SELECT * FROM v_merge_input WHERE status <> 'archived')"
 
 
 @query("merge_candidates", with_views(f"SELECT {PAIR_COLS} FROM ({best_pairs_sql('v_merge_input')})"))
@@ -202,7 +202,7 @@ def merge_candidates(t: Testbed) -> DataFrame:
     return me.merge_candidates(t.merge_input)
 
 
-@query("merge_recompute", with_views(f"SELECT {PAIR_COLS} FROM ({best_pairs_sql(NEWEST_400)})"))
+@query("merge_recompute", with_views(f"SELECT {PAIR_COLS} FROM ({best_pairs_sql(LIVE)})"))
 def merge_recompute(t: Testbed) -> DataFrame:
     return me.recompute_candidates(t.merge_input, as_of()).drop("computed_at")
 
@@ -508,9 +508,8 @@ def recs_actions(t: Testbed) -> DataFrame:
 # --- profile --------------------------------------------------------------------------------------------
 
 def _labels_sql(kind: str) -> str:
-    return f"""SELECT session_id, string_agg(label, ',' ORDER BY entity_id) AS labels, max(n) AS n FROM (
-        SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY entity_id) AS rn, count(*) OVER (PARTITION BY session_id) AS n
-        FROM ({INTELLIGENCE}) WHERE entity_type = '{kind}') WHERE rn <= 5 GROUP BY session_id"""
+    return f"""SELECT session_id, string_agg(label, ',' ORDER BY entity_id) AS labels, count(*) AS n
+        FROM ({INTELLIGENCE}) WHERE entity_type = '{kind}' GROUP BY session_id"""
 
 
 def digests_sql() -> str:

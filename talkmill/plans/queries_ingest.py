@@ -195,7 +195,7 @@ def import_batches(t: Testbed) -> DataFrame:
 def duplicate_files(t: Testbed) -> DataFrame:
     """Documents as transcripts: some were imported before, some are exact copies of each other."""
     name = F.concat(F.lit("/docs/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".md"))
-    files = t.texts("documents").select(
+    files = t.table("documents").select(
         name.alias("file_name"), F.concat(F.lit("## User\n"), F.col("text")).alias("content"), "doc_id"
     ).withColumn("file_hash", F.sha2("content", 256))
     old = files.filter("doc_id % 10 = 0").select("file_hash", F.lit("completed").alias("status"))

@@ -200,7 +200,7 @@ def hash_embedding_sql(chunks: str) -> str:
     """The hash projection in SQL: one row per (chunk, slot) that any word reaches."""
     return f"""
     WITH words AS (SELECT id, word, i - 1 AS i FROM (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS i
-                   FROM (SELECT id, {sql_words('text')} AS w FROM {chunks})) WHERE i <= 512),
+                   FROM (SELECT id, {sql_words('text')} AS w FROM {chunks}))),
     hashes AS (SELECT word, list_reduce(list_prepend(5381::bigint, [unicode(c)::bigint for c in string_split(word, '')]),
                       lambda h, c: xor((h * 33) & 4294967295, c)) AS h, length(word) AS len
                FROM (SELECT DISTINCT word FROM words)),
@@ -294,7 +294,7 @@ def stale_batches(t: Testbed) -> DataFrame:
                                               lambda h, c: (h * 31 + c) & 4294967295) AS h FROM documents)""",
 )
 def fingerprints(t: Testbed) -> DataFrame:
-    return t.texts("documents").select(
+    return t.table("documents").select(
         F.col("doc_id").cast("string").alias("id"), fingerprint(F.col("text")).alias("sha256"),
         fingerprint(F.col("text"), "poly32").alias("poly32"),
     )

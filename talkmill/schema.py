@@ -5,20 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Closed sets of the data model.
-SOURCE_TYPES = ["chatgpt", "claude", "cursor", "generic"]
-IMPORT_STATUSES = ["pending", "validating", "parsing", "normalizing", "completed", "failed"]
-SESSION_TYPES = ["conversation", "coding_session", "reasoning_session", "artifact_session", "unknown"]
-MESSAGE_ROLES = ["user", "assistant", "system", "tool", "unknown"]
-ARTIFACT_TYPES = ["code", "markdown", "file_patch", "plan", "design_document", "other"]
-CHUNK_TYPES = ["message", "artifact", "mixed"]
-ENTITY_STATUSES = ["active", "stalled", "completed", "archived", "speculative"]
-GOAL_HORIZONS = ["short_term", "medium_term", "long_term", "ongoing"]
+# The categories of patterns.
 PATTERN_CATEGORIES = ["behavioral", "cognitive", "workflow", "temporal", "other"]
-RECOMMENDATION_TYPES = [
-    "next_action", "revive_stalled", "consolidate", "revisit_decision", "reflect_pattern", "extract_plan",
-]
-ENTITY_TYPES = ["project", "goal", "theme", "interest", "pattern", "recommendation"]
 
 # Raise when chunking or tokenising changes, so that older batches are indexed again.
 SEARCH_INDEX_VERSION = 1
@@ -93,9 +81,3 @@ def conform(df: DataFrame, name: str) -> DataFrame:
         col, dtype = field.split(" ", 1)
         cols.append((F.col(col) if col in have else F.lit(None)).cast(dtype).alias(col))
     return df.select(*cols)
-
-
-def split_valid(df: DataFrame, column: str, allowed: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows whose value belongs to a closed set, and the others."""
-    ok = F.coalesce(F.col(column).isin(allowed), F.lit(False))
-    return df.filter(ok), df.filter(~ok)

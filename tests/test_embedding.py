@@ -28,13 +28,13 @@ TEXTS = ["", "hello world", "a", "zz top zz " * 171, "x" * 3000, "caf" + chr(233
 
 
 def test_vectors_equal_a_plain_loop():
-    for text, got in zip(TEXTS, project_texts(TEXTS)):
+    for text, got in zip(TEXTS, project_texts(TEXTS, 512)):
         assert got == pytest.approx(by_loop(text), abs=1e-12)
     assert project_texts([""]).tolist() == [[0.0] * 64]
 
 
 def test_words_past_the_limit_do_not_count():
-    assert project_texts([TEXTS[-1]])[0] == pytest.approx(project_texts(["word " * 512])[0])
+    assert project_texts([TEXTS[-1]], 512)[0] == pytest.approx(project_texts(["word " * 512])[0])
 
 
 def test_backfill_keeps_what_is_there(spark):
