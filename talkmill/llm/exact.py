@@ -25,6 +25,8 @@ BYTES_PER_TRIGGER = 1 << 30
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # A store is closed after its commit: each open one holds several MB of disk and memory, whatever its size.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
