@@ -225,10 +225,11 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
 
 def families(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_paragraphs (named ones), families (confirmed, in order): one row per document."""
-    found = scan(docs, model, key, text).groupBy("file", "row").agg(
+    placed = located(docs.select(key, text))
+    found = scan(placed, model, key, text).groupBy("file", "row").agg(
         F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families")
     )
-    rows = located(docs.select(key)).select(key, F.col("__file").alias("file"), F.col("__row").alias("row"))
+    rows = placed.select(key, F.col("__file").alias("file"), F.col("__row").alias("row"))
     return rows.join(stored(found, "licences"), ["file", "row"], "left").select(
         key, F.coalesce("n", F.lit(0).cast("bigint")).alias("n_paragraphs"),
         F.coalesce(F.array_join("families", ","), F.lit("")).alias("families"),
