@@ -238,6 +238,26 @@ def project_list(t: Testbed) -> DataFrame:
     return numbered(listed, order, "n").select("id", "canonical_title", (F.col("n") + 1).alias("place"))
 
 
+def _placed(rows: DataFrame, order: list) -> DataFrame:
+    """The rows with their place in an order, for listings whose order is the result."""
+    from talkmill.operators.profile import numbered
+
+    return numbered(rows, order, "n").withColumn("place", F.col("n") + 1)
+
+
+PROJECT_ORDERS = {"recent": "last_seen_at DESC, id", "name": "lower(canonical_title), id"}
+for _order, _sql in PROJECT_ORDERS.items():
+
+    @query(
+        f"project_list_{_order}",
+        with_views(f"SELECT id, canonical_title, row_number() OVER (ORDER BY {_sql}) AS place FROM ({activity_sql()})"),
+    )
+    def project_list_by(t: Testbed, order: str = _order) -> DataFrame:
+        listed = da.project_list(da.project_activity(t.projects, t.evidence, as_of()), order=order)
+        keys = [F.desc("last_seen_at"), F.col("id")] if order == "recent" else [F.lower("canonical_title"), F.col("id")]
+        return _placed(listed, keys).select("id", "canonical_title", "place")
+
+
 RECURRENCE = f"""
     SELECT *, CASE WHEN recent_count > prior_count + 1 THEN 'rising' WHEN prior_count > recent_count + 1 THEN 'declining'
                    ELSE 'stable' END AS trend
@@ -261,6 +281,36 @@ def top_themes(t: Testbed) -> DataFrame:
     return da.theme_list(da.theme_recurrence(t.themes, t.evidence, as_of()), limit=3).select("id", "label", "session_count")
 
 
+THEME_ORDERS = {"recent": "last_seen_at DESC, id", "name": "lower(label), id"}
+for _order, _sql in THEME_ORDERS.items():
+
+    @query(
+        f"theme_list_{_order}",
+        with_views(f"SELECT id, label, row_number() OVER (ORDER BY {_sql}) AS place FROM ({RECURRENCE})"),
+    )
+    def theme_list_by(t: Testbed, order: str = _order) -> DataFrame:
+        listed = da.theme_list(da.theme_recurrence(t.themes, t.evidence, as_of()), order)
+        keys = [F.desc("last_seen_at"), F.col("id")] if order == "recent" else [F.lower("label"), F.col("id")]
+        return _placed(listed, keys).select("id", "label", "place")
+
+
+@query(
+    "session_profiles_json",
+    lambda: with_views(
+        f"""SELECT session_id, message_count, word_count,
+               CASE WHEN session_id::bigint % 7 = 0 THEN '' ELSE coalesce(top_keywords, '') END AS top_keywords
+            FROM ({METRICS}) m LEFT JOIN ({keywords_sql('v_messages')}) k USING (session_id)"""
+    ),
+)
+def session_profiles_json(t: Testbed) -> DataFrame:
+    """Profiles read from keywords that are stored as JSON text, some of it damaged."""
+    rows = an.compute_session_analytics(t.sessions, t.messages, as_of())
+    text = F.to_json(F.coalesce("top_keywords", F.array().cast("array<string>")))
+    damaged = F.when(F.col("session_id").cast("bigint") % 7 == 0, F.concat(F.lit("["), text)).otherwise(text)
+    stored = rows.withColumn("top_keywords_json", damaged).drop("top_keywords")
+    return an.session_profiles(stored).select("session_id", "message_count", "word_count", "top_keywords")
+
+
 @query("session_intelligence", with_views(INTELLIGENCE))
 def session_intelligence(t: Testbed) -> DataFrame:
     return da.session_intelligence(t.evidence, t.projects, t.themes)

@@ -65,7 +65,11 @@ def ingest_stream(
     )
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        as_of = F.current_timestamp()
+        # The stream's own time of the batch is kept with its offsets, so a batch that is delivered again has the same one.
+        seen = batch.select("seen_at").first()
+        if seen is None:
+            return
+        as_of = F.lit(seen[0])
         if on_batch is not None:
             on_batch(store, batch, batch_id, as_of)
         else:
