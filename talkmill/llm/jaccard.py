@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkmill.llm.common import keep_possible, located, stored, without
 
@@ -38,7 +39,6 @@ TABLE_BITS, SLICES = 22, 512
 ROW_COST = 30
 #: Largest size that is considered as boundary; beyond it, pairs of first tokens always cost more.
 LARGEST_BOUNDARY = 512
-REMEMBERED_WORDS = 400_000
 NODE = ["file", "row"]
 
 
@@ -47,26 +47,38 @@ def _mixers(words: int) -> list[np.uint64]:
 
 
 class Shingler:
-    """Sorted distinct shingle hashes of texts; A-Z are lower-cased, words are runs outside ASCII white space."""
+    """Sorted distinct shingle hashes of texts; A-Z are lower-cased, words are runs outside ASCII white space.
 
-    def __init__(self, words: int = WORDS):
-        import xxhash
-
-        self.digest, self.words, self.mixers, self.known = xxhash.xxh64_intdigest, words, _mixers(words), {}
+    All words of a text are hashed at once: random values of their bytes, times powers by place, are summed and mixed.
+    """
 
-    def _hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > REMEMBERED_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = self.digest(w)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    def __init__(self, words: int = WORDS):
+        self.words, self.mixers = words, _mixers(max(words, 5))
+        self.white = np.zeros(256, dtype=bool)
+        self.white[[9, 10, 11, 12, 13, 32]] = True
+        self.values = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.powers = np.ones(1, dtype=np.uint64)
+
+    def _hashes(self, data: bytes) -> np.ndarray:
+        signs = np.frombuffer(data, dtype=np.uint8)
+        gap = self.white[signs]
+        first = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+        sizes = np.flatnonzero(~gap & np.r_[gap[1:], True]) - first + 1
+        at = np.flatnonzero(~gap)
+        if not len(at):
+            return np.zeros(0, dtype=np.uint64)
+        if sizes.max() > len(self.powers):
+            self.powers = np.cumprod(np.r_[np.uint64(1), np.full(2 * int(sizes.max()), self.mixers[0], dtype=np.uint64)])
+        h = np.add.reduceat(self.values[signs[at]] * self.powers[at - np.repeat(first, sizes)], np.cumsum(sizes) - sizes)
+        h += sizes.astype(np.uint64) * self.mixers[3]
+        h = (h ^ (h >> np.uint64(32))) * self.mixers[2]
+        return h ^ (h >> np.uint64(29))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        h, size = self._hashes(words), min(self.words, len(words))
+        h = self._hashes((text or "").encode().lower()) if text else np.zeros(0, dtype=np.uint64)
+        if not len(h):
+            return h
+        size = min(self.words, len(h))
         n = len(h) - size + 1
         s = np.full(n, size, dtype=np.uint64)
         for i in range(size):
@@ -111,48 +123,50 @@ def list_keys(tokens: np.ndarray, levels: np.ndarray, boundary: int, similarity:
     return np.concatenate(keys), np.concatenate(places).astype(np.int32)
 
 
-def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """key, file, row, n, fp (128 bits of the whole set)."""
+def first_pass(docs: DataFrame, words: int) -> DataFrame:
+    """One pass over all texts. Rows with ``fp``: key, file, row, n, fp (128 bits of the whole set) of each document. Rows with
+    ``slice``: a task's counts of the shingles of its documents, cut into slices of the frequency table."""
+    width = (1 << TABLE_BITS) // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        shingler = Shingler(words)
+        shingler, table, names = Shingler(words), np.zeros(1 << TABLE_BITS, dtype=np.uint32), ["key", *NODE, "n", "fp", "slice", "counts"]
+        kinds = None
         for batch in batches:
             sets = [shingler(t) for t in batch.column("text").to_pylist()]
+            for s in sets:
+                np.add.at(table, (s >> np.uint64(64 - TABLE_BITS)).astype(np.int64), 1)
             fp = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            kept = batch.select(["key", *NODE])
+            kinds = kept.schema.types
+            n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [*batch.select(["key", *NODE]).columns, pa.array([len(s) for s in sets], pa.int64()), fp], ["key", *NODE, "n", "fp"]
+                [*kept.columns, pa.array([len(s) for s in sets], pa.int64()), fp, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names
+            )
+        if kinds and table.any():
+            parts = [table[i * width:(i + 1) * width].tobytes() for i in range(SLICES)]
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.nulls(SLICES, k) for k in kinds], pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()),
+                 pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names,
             )
 
-    return docs.mapInArrow(run, docs.select("key", *NODE, F.lit(0).cast("bigint").alias("n"), F.lit(b"").alias("fp")).schema)
-
+    # All columns may be null: documents have no slice, and slices no document.
+    fields = [*docs.select("key", *NODE).schema.fields, *T.StructType.fromDDL("n bigint, fp binary, slice int, counts binary").fields]
+    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
 
-def frequency_levels(docs: DataFrame, words: int) -> np.ndarray:
-    """A byte per counter that grows with the logarithm of the shingles counted in it, over all documents.
 
-    Tasks count into a table and send its slices; slices are added as they arrive. The whole table, 4 MB, goes to the driver.
-    """
+def frequency_levels(slices: DataFrame) -> tuple[np.ndarray, float]:
+    """A byte per counter that grows with the logarithm of the shingles counted in it, and the mean number of other sets in the
+    list of a shingle. Slices of all tasks are added as they arrive; the whole table, 4 MB, goes to the driver."""
     width = (1 << TABLE_BITS) // SLICES
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, table, met = Shingler(words), np.zeros(1 << TABLE_BITS, dtype=np.uint32), False
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                slots = (shingler(text) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-                np.add.at(table, slots, 1)
-                met = met or len(slots) > 0
-        if met:
-            parts = [table[i * width:(i + 1) * width].tobytes() for i in range(SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
                 sums[i] = sums.get(i, 0) + np.frombuffer(raw, dtype=np.uint32).astype(np.uint64)
         levels = [np.minimum(255, 4 * np.log2(1 + s)).astype(np.uint8).tobytes() for s in sums.values()]
-        # Pairs of shingles in one counter, for the mean length of lists.
         squares = [float(np.sum(s.astype(float) ** 2)) for s in sums.values()]
         totals = [float(np.sum(s)) for s in sums.values()]
         yield pa.RecordBatch.from_arrays(
@@ -160,16 +174,14 @@ def frequency_levels(docs: DataFrame, words: int) -> np.ndarray:
             ["slice", "levels", "squares", "total"],
         )
 
-    counted = docs.select("text").mapInArrow(count, "slice int, counts binary")
-    added = counted.repartition("slice").mapInArrow(add, "slice int, levels binary, squares double, total double")
+    added = slices.select("slice", "counts").repartition("slice").mapInArrow(add, "slice int, levels binary, squares double, total double")
     levels = np.zeros(1 << TABLE_BITS, dtype=np.uint8)
     squares = total = 0.0
     for r in added.collect():
         levels[r["slice"] * width:(r["slice"] + 1) * width] = np.frombuffer(r["levels"], dtype=np.uint8)
         squares, total = squares + r["squares"], total + r["total"]
     # What other shingles in the same counter add on average is taken off.
-    others = max(0.0, squares / total - 1 - total / len(levels)) if total else 0.0
-    return levels, others
+    return levels, max(0.0, squares / total - 1 - total / len(levels)) if total else 0.0
 
 
 def choose_boundary(sizes: dict[int, int], others: float, similarity: int = SIMILARITY) -> int:
@@ -220,7 +232,7 @@ def postings(docs: DataFrame, levels: np.ndarray, boundary: int, words: int, sim
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """file, row, tokens."""
+    """id, tokens of documents (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -228,14 +240,17 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
                 sets = pa.array([shingler(t).view(np.int64) for t in part.column("text").to_pylist()], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.select(NODE).columns, sets], [*NODE, "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), sets], ["id", "tokens"])
 
-    schema = docs.select(*NODE, F.array(F.lit(0).cast("bigint")).alias("tokens")).schema
-    return docs.select(*NODE, "text").mapInArrow(run, schema)
+    schema = docs.select("id", F.array(F.lit(0).cast("bigint")).alias("tokens")).schema
+    return docs.select("id", "text").mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def verified(pairs: DataFrame, rows: DataFrame, ids: DataFrame, words: int, similarity: int) -> DataFrame:
+    """The pairs (a, b) whose sets link. Only the texts of their documents are moved, and made into sets again."""
+    asked = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(ids, "id"), "asked")
+    texts = keep_possible(rows.select(*NODE, "text"), F.struct(*NODE), asked, F.struct(*NODE)).join(asked, NODE)
+    sets = stored(shingle_sets(texts, words), "shingle-sets", "zstd")
     one = sets.select(F.col("id").alias("a"), F.col("tokens").alias("a_tokens"))
     two = sets.select(F.col("id").alias("b"), F.col("tokens").alias("b_tokens"))
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
@@ -266,7 +281,7 @@ def components(edges: DataFrame) -> DataFrame:
         F.col("b").alias("id"), F.col("b").alias("component")))
 
 
-def link_nodes(lists: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def link_nodes(lists: DataFrame, rows: DataFrame, ids: DataFrame, words: int, similarity: int) -> DataFrame:
     """id, component of the nodes in lists (list, id, n, place) that link with another."""
     fits = lambda a, b: (  # noqa: E731  the most that both can share reaches the similarity
         (100 + similarity) * F.least(F.col(f"{a}n") - F.col(f"{a}place"), F.col(f"{b}n") - F.col(f"{b}place"))
@@ -277,7 +292,7 @@ def link_nodes(lists: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     heads = lists.groupBy("list").agg(F.min(F.struct("place", "n", "id")).alias("h")).select("list", "h.*")
     first = named(lists, "x_").join(named(heads, "y_"), "list").filter((F.col("x_id") != F.col("y_id")) & fits("x_", "y_"))
     tested = stored(first.select(*pair).distinct(), "first-pairs")
-    edges = stored(verified(tested, sets, similarity), "first-links")
+    edges = stored(verified(tested, rows, ids, words, similarity), "first-links")
     found = stored(components(edges), "first-components")
     placed = stored(lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     open_lists = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("list")
@@ -285,8 +300,8 @@ def link_nodes(lists: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     cross = named(rest, "x_").join(named(rest, "y_"), "list").filter(
         (F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & fits("x_", "y_")
     )
-    untested = cross.select(*pair).distinct().join(tested, ["a", "b"], "left_anti")
-    more = stored(verified(untested, sets, similarity), "more-links")
+    untested = stored(cross.select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "more-pairs")
+    more = stored(verified(untested, rows, ids, words, similarity), "more-links")
     return components(edges.unionByName(more))
 
 
@@ -297,7 +312,8 @@ def near_duplicates(
     rows = located(docs.select(key, text)).select(
         F.col(key).alias("key"), F.col("__file").alias("file"), F.col("__row").alias("row"), F.col(text).cast("string").alias("text")
     )
-    prints = stored(fingerprints(rows, words), "fingerprints", "zstd")
+    passed = stored(first_pass(rows, words), "first-pass", "zstd")
+    prints = passed.filter("fp IS NOT NULL").drop("slice", "counts")
     whole = prints.filter("n > 0")
     same = stored(
         whole.groupBy("fp").agg(F.min(F.struct(*NODE)).alias("node"), F.min("key").alias("least"), F.count("*").alias("size"), F.first("n").alias("n")),
@@ -305,7 +321,7 @@ def near_duplicates(
     )
     copies = whole.join(same.filter("size > 1").select("fp", "node"), "fp").filter(F.struct(*NODE) != F.col("node")).select(*NODE)
     single = without(rows, NODE, stored(copies, "copies"))
-    levels, others = frequency_levels(rows, words)
+    levels, others = frequency_levels(passed.filter("slice IS NOT NULL"))
     sizes = {r["n"]: r["c"] for r in same.filter(F.col("n") < LARGEST_BOUNDARY).groupBy("n").agg(F.count("*").alias("c")).collect()}
     boundary = choose_boundary(sizes, others, similarity)
     every = stored(postings(single, levels, boundary, words, similarity), "postings", "zstd")
@@ -313,9 +329,7 @@ def near_duplicates(
     lists = stored(keep_possible(every, F.col("list"), shared, F.col("list")).join(shared, "list", "left_semi"), "lists")
     ids = stored(lists.select(*NODE).distinct().withColumn("id", F.monotonically_increasing_id()), "node-ids")
     numbered = stored(lists.join(ids, NODE).select("list", "id", "n", "place"), "numbered-lists")
-    asked = keep_possible(rows, F.struct(*NODE), ids, F.struct(*NODE)).join(ids.select(*NODE), NODE, "left_semi")
-    sets = stored(shingle_sets(asked, words).join(ids, NODE).select("id", "tokens"), "shingle-sets", "zstd")
-    linked = stored(link_nodes(numbered, sets, similarity), "components")
+    linked = stored(link_nodes(numbered, rows, ids, words, similarity), "components")
     # Every set's smallest key, then every component's, which then goes to the documents of all its sets.
     member = linked.join(ids, "id").select("component", F.struct(*NODE).alias("node")).join(same, "node")
     tops = member.groupBy("component").agg(F.min("least").alias("top"))
