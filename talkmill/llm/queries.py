@@ -186,14 +186,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages in WARC archives, with what an audit finds against a replica in which a sign of some records is changed
     (ids that leave 7 when divided by 101) and others are blank (13, by 2111)."""
     rows = stored(warc.records(table(spark, sf_dir, "pages")), "records", "zstd")
-    store, replica = new_folder(spark, "store"), new_folder(spark, "replica")
-    warc.write_archives(rows, store)
+    folder = new_folder(spark, "archives")
     size = F.octet_length("record").cast("int")
     damaged = F.when(F.col("key") % 101 == 7, F.concat(F.lit("w"), F.expr("substring(record, 2)"))).when(
         F.col("key") % 2111 == 13, F.repeat(F.lit(" "), size)).otherwise(F.col("record"))
-    warc.write_archives(rows.withColumn("record", damaged), replica)
+    warc.write_archives(rows, folder, {"store": F.col("record"), "replica": damaged})
     manifest = rows.drop("record")
-    differ, roots = warc.audit(spark, manifest, store, replica)
+    differ, roots = warc.audit(spark, manifest, f"{folder}/copy=store", f"{folder}/copy=replica")
     found = differ.select("archive", "no", F.lit(True).alias("differs"))
     return (
         manifest.join(found, ["archive", "no"], "left").join(roots.select("archive", F.col("hash").alias("archive_root")), "archive")

@@ -12,6 +12,12 @@ show as records that differ. An empty table has no archives.
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,23 +57,41 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     )
 
 
-def write_archives(rows: DataFrame, folder: str) -> None:
-    """One WARC file per archive: records in order, each followed by two line ends."""
-    placed = rows.repartition("archive").sortWithinPartitions("archive", "no").select("archive", "record")
-    placed.write.mode("overwrite").partitionBy("archive").option("lineSep", GAP).text(folder)
+def write_archives(rows: DataFrame, folder: str, copies: dict[str, Column]) -> None:
+    """For each copy, in ``folder/copy=name``, one WARC file per archive: records in order, each followed by two line ends.
+    Files are compressed; offsets count the bytes before compression. ``copies`` gives the text of a record in each copy."""
+    each = F.array(*[F.struct(F.lit(name).alias("copy"), text.alias("record")) for name, text in copies.items()])
+    placed = rows.repartition("archive").select("archive", "no", F.explode(each).alias("x")).select("x.copy", "archive", "no", "x.record")
+    placed = placed.sortWithinPartitions("copy", "archive", "no").select("copy", "archive", "record")
+    placed.write.mode("overwrite").partitionBy("copy", "archive").option("lineSep", GAP).option("compression", "gzip").text(folder)
 
 
 def read_ranges(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """The manifest with ``found``, the digest of each range's bytes as they are in the store; null where it has none."""
     ranges = manifest.groupBy("archive").agg(F.collect_list(F.struct("no", "offset", "length")).alias("ranges"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt.gz").load(folder)
     files = files.select(F.regexp_extract("path", r"archive=([^/]+)/", 1).alias("archive"), "content")
-    read = files.join(ranges, "archive", "right")
-    part = lambda r: F.substring(F.col("content"), (r["offset"] + 1).cast("int"), r["length"].cast("int"))
-    found = lambda r: F.when(F.octet_length(part(r)) == r["length"], F.sha2(part(r), 256))
-    return read.select(
-        "archive", F.inline(F.transform("ranges", lambda r: F.struct(r["no"], r["offset"], r["length"], found(r).alias("found"))))
-    )
+    schema = manifest.select("archive", "no", "offset", "length", F.lit(None).cast("string").alias("found")).schema
+    return files.join(ranges, "archive", "right").select("archive", "content", "ranges").mapInArrow(_digests, schema)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the ranges of each archive's bytes. An archive that cannot be unpacked has none of its ranges."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            content = batch.column("content")[n]
+            try:
+                data = memoryview(gzip.decompress(content.as_py()) if content.is_valid else b"")
+            except (OSError, EOFError, zlib.error):
+                data = memoryview(b"")
+            ranges = batch.column("ranges")[n].as_py()
+            parts = [data[r["offset"]:r["offset"] + r["length"]] for r in ranges]
+            found = [hashlib.sha256(p).hexdigest() if len(p) == r["length"] else None for p, r in zip(parts, ranges)]
+            columns = [[r[c] for r in ranges] for c in ("no", "offset", "length")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([batch.column("archive")[n].as_py()] * len(ranges), pa.string()), *[pa.array(c, pa.int64()) for c in columns], pa.array(found, pa.string())],
+                ["archive", "no", "offset", "length", "found"],
+            )
 
 
 def tree(ranges: DataFrame, digest: str, levels: int) -> list[DataFrame]:
@@ -75,18 +99,19 @@ def tree(ranges: DataFrame, digest: str, levels: int) -> list[DataFrame]:
     nodes = ranges.filter(F.col(digest).isNotNull()).select(
         "archive", F.col("no").alias("node"), "offset", (F.col("offset") + F.col("length")).alias("end"), F.col(digest).alias("hash")
     )
-    out = [nodes]
-    for _ in range(levels):
+    out = [stored(nodes, "tree-0", "zstd")]
+    for n in range(levels):
         child = F.struct("node", "offset", "end", "hash")
         line = lambda c: F.concat_ws(":", c["offset"].cast("string"), c["end"].cast("string"), c["hash"])
         parents = out[-1].groupBy("archive", F.floor(F.col("node") / FAN_OUT).alias("parent")).agg(
             F.array_sort(F.collect_list(child)).alias("c")
         )
-        out.append(parents.select(
+        level = parents.select(
             "archive", F.col("parent").alias("node"), F.array_min("c.offset").alias("offset"), F.array_max("c.end").alias("end"),
             F.sha2(F.array_join(F.transform("c", line), "\n"), 256).alias("hash"),
-        ))
-    return [stored(level, f"tree-{n}", "zstd") for n, level in enumerate(out)]
+        )
+        out.append(stored(level, f"tree-{n + 1}", "zstd"))
+    return out
 
 
 def tree_levels(records_per_archive: int = PER_ARCHIVE) -> int:

@@ -174,10 +174,10 @@ def test_warc_audit(spark, tmp_path, monkeypatch):
     pages = [(i, f"http://x/{i}", f"<p>é{i}</p>\r\n\r\nWARC/1.1") for i in range(100)] + [(None, None, None), (7, "http://x/7", "again"), (7, "http://x/7", "again")]
     rows = warc.records(spark.createDataFrame([(*p, "clash") for p in pages], "page_id bigint, url string, html string, digest string")).cache()
     assert rows.count() == len(pages)
-    one, two = str(tmp_path / "one"), str(tmp_path / "two")
-    warc.write_archives(rows, one)
-    damaged = rows.withColumn("record", F.when(F.col("key") == 33, F.concat(F.lit("w"), F.expr("substring(record, 2)"))).otherwise(F.col("record")))
-    warc.write_archives(damaged.filter("key IS NULL OR key < 80"), two)
+    one, two = str(tmp_path / "a" / "copy=one"), str(tmp_path / "b" / "copy=two")
+    damaged = F.when(F.col("key") == 33, F.concat(F.lit("w"), F.expr("substring(record, 2)"))).otherwise(F.col("record"))
+    warc.write_archives(rows, str(tmp_path / "a"), {"one": F.col("record")})
+    warc.write_archives(rows.filter("key IS NULL OR key < 80"), str(tmp_path / "b"), {"two": damaged})
     manifest = rows.drop("record")
     for r in warc.read_ranges(spark, one, manifest).join(manifest.select("archive", "no", "digest"), ["archive", "no"]).collect():
         assert r["found"] == r["digest"]
