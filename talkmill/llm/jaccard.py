@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 from talkmill.llm.common import keep_possible, located, stored, without
 
 WORDS, SIMILARITY = 5, 75
-#: Counters of the frequency table: 2^22, one byte each after scaling.
-TABLE_BITS, SLICES = 22, 512
+#: Counters of the frequency table: 2^24, one byte each after scaling.
+TABLE_BITS, SLICES = 24, 512
 #: Cost of a row that is shuffled to a list, in comparisons within a list.
 ROW_COST = 30
 #: Largest size that is considered as boundary; beyond it, pairs of first tokens always cost more.
@@ -145,7 +145,7 @@ def first_pass(docs: DataFrame, words: int) -> DataFrame:
                 [*kept.columns, pa.array([len(s) for s in sets], pa.int64()), fp, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names
             )
         if kinds and table.any():
-            parts = [table[i * width:(i + 1) * width].tobytes() for i in range(SLICES)]
+            parts = [pack_counts(table[i * width:(i + 1) * width]) for i in range(SLICES)]
             yield pa.RecordBatch.from_arrays(
                 [*[pa.nulls(SLICES, k) for k in kinds], pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()),
                  pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names,
@@ -156,16 +156,29 @@ def first_pass(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A byte per counter, then places and counts of those that need more."""
+    large = np.flatnonzero(counts >= 255)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype("<u4").tobytes() + counts[large].astype("<u4").tobytes()
+
+
+def unpack_counts(raw: bytes, width: int) -> np.ndarray:
+    counts = np.frombuffer(raw, dtype=np.uint8, count=width).astype(np.uint64)
+    places, large = np.frombuffer(raw, dtype="<u4", offset=width).reshape(2, -1)
+    counts[places] = large
+    return counts
+
+
 def frequency_levels(slices: DataFrame) -> tuple[np.ndarray, float]:
     """A byte per counter that grows with the logarithm of the shingles counted in it, and the mean number of other sets in the
-    list of a shingle. Slices of all tasks are added as they arrive; the whole table, 4 MB, goes to the driver."""
+    list of a shingle. Slices of all tasks are added as they arrive; the whole table, 16 MB, goes to the driver."""
     width = (1 << TABLE_BITS) // SLICES
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                sums[i] = sums.get(i, 0) + np.frombuffer(raw, dtype=np.uint32).astype(np.uint64)
+                sums[i] = sums.get(i, 0) + unpack_counts(raw, width)
         levels = [np.minimum(255, 4 * np.log2(1 + s)).astype(np.uint8).tobytes() for s in sums.values()]
         squares = [float(np.sum(s.astype(float) ** 2)) for s in sums.values()]
         totals = [float(np.sum(s)) for s in sums.values()]
@@ -251,8 +264,8 @@ def verified(pairs: DataFrame, rows: DataFrame, ids: DataFrame, words: int, simi
     asked = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(ids, "id"), "asked")
     texts = keep_possible(rows.select(*NODE, "text"), F.struct(*NODE), asked, F.struct(*NODE)).join(asked, NODE)
     sets = stored(shingle_sets(texts, words), "shingle-sets", "zstd")
-    one = sets.select(F.col("id").alias("a"), F.col("tokens").alias("a_tokens"))
-    two = sets.select(F.col("id").alias("b"), F.col("tokens").alias("b_tokens"))
+    side = lambda c: keep_possible(sets, F.col("id"), pairs, F.col(c)).select(F.col("id").alias(c), F.col("tokens").alias(f"{c}_tokens"))
+    one, two = side("a"), side("b")
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
     either = F.size("a_tokens") + F.size("b_tokens") - both
     return pairs.join(one, "a").join(two, "b").filter(100 * both >= similarity * either).select("a", "b")
