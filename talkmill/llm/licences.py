@@ -201,24 +201,30 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     """key, file, row, paragraph (line number), family, probability, contained, confirmed: the paragraphs the model gives a family."""
     spark = docs.sparkSession
     n = len(model.families)
-    table = spark.createDataFrame([(g, *w) for g, w in model.weights.items()], "gram string, " + ", ".join(f"w{k} double" for k in range(n)))
+    shapes = [(f, t) for f, ts in TEMPLATES.items() for t in ts]
+    shapes = spark.createDataFrame(shapes, "family string, template string").select("family", grams(F.col("template")).alias("grams")).collect()
+    of_templates = sorted({g for r in shapes for g in r["grams"]})
+    number = {g: k for k, g in enumerate(of_templates)}
+    # Features of the model and of the templates; what only a template has weighs nothing.
+    known = [(g, number.get(g), *model.weights.get(g, [0.0] * n)) for g in sorted({*model.weights, *of_templates})]
+    table = spark.createDataFrame(known, "gram string, number int, " + ", ".join(f"w{k} double" for k in range(n)))
     words = model.cue_words()
     pattern = "(?<![a-z0-9])(?:" + "|".join(map(re.escape, words)) + ")(?![a-z0-9])" if words else "(?!)"
     rows = located(docs.select(key, text)).select(F.col(key).alias("key"), F.col("__file").alias("file"), F.col("__row").alias("row"), text_or_empty(text).alias("text"))
     lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, at: F.struct(at.alias("paragraph"), x.alias("line"))), lambda x: F.lower(x["line"]).rlike(pattern))
     paragraphs = rows.select("key", "file", "row", F.explode(lines).alias("x")).select("key", "file", "row", "x.paragraph", grams(F.col("x.line")).alias("grams"))
     place = ["key", "file", "row", "paragraph"]
-    hits = paragraphs.select(*place, "grams", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")
-    sums = hits.groupBy(*place).agg(*[(F.sum(f"w{k}") + F.lit(model.intercepts[k])).alias(f"s{k}") for k in range(n)], F.first("grams").alias("grams"))
+    hits = paragraphs.select(*place, F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")
+    sums = hits.groupBy(*place).agg(*[(F.sum(f"w{k}") + F.lit(model.intercepts[k])).alias(f"s{k}") for k in range(n)], F.collect_set("number").alias("numbers"))
     top = F.greatest(*[F.col(f"s{k}") for k in range(n)])
     total = sum((F.exp((F.col(f"s{k}") - top) / model.temperature) for k in range(1, n)), F.exp((F.col("s0") - top) / model.temperature))
     best = F.array(*[F.struct(F.col(f"s{k}").alias("s"), F.lit(model.families[k]).alias("family")) for k in range(n)])
-    named = sums.select(*place, "grams", F.array_max(best)["family"].alias("family"), (1 / total).alias("probability")).filter(
+    named = sums.select(*place, "numbers", F.array_max(best)["family"].alias("family"), (1 / total).alias("probability")).filter(
         (F.col("family") != UNKNOWN) & (F.col("probability") >= model.least)
     )
-    shapes = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, template string")
-    shapes = shapes.groupBy("family").agg(F.collect_list(grams(F.col("template"))).alias("templates"))
-    share = F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.size(t))
+    by_family = [(f, [[number[g] for g in r["grams"]] for r in shapes if r["family"] == f]) for f in TEMPLATES]
+    shapes = spark.createDataFrame(by_family, "family string, templates array<array<int>>")
+    share = F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("numbers"))) / F.size(t))
     compared = named.join(F.broadcast(shapes), "family").withColumn("contained", F.array_max(share))
     return compared.select(*place, "family", "probability", "contained", (F.col("contained") >= CONTAINED).alias("confirmed"))
 
