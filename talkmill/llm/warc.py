@@ -59,9 +59,11 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
 def write_archives(rows: DataFrame, folder: str, copies: dict[str, Column]) -> None:
     """For each copy, in ``folder/copy=name``, one WARC file per archive: records in order, each followed by two line ends.
-    Files are compressed; offsets count the bytes before compression. ``copies`` gives the text of a record in each copy."""
+    Files are compressed; offsets count the bytes before compression. ``copies`` gives the text of a record in each copy.
+
+    The rows come from ``records``, which has all rows of an archive in one partition, so they are not shuffled again."""
     each = F.array(*[F.struct(F.lit(name).alias("copy"), text.alias("record")) for name, text in copies.items()])
-    placed = rows.repartition("archive").select("archive", "no", F.explode(each).alias("x")).select("x.copy", "archive", "no", "x.record")
+    placed = rows.select("archive", "no", F.explode(each).alias("x")).select("x.copy", "archive", "no", "x.record")
     placed = placed.sortWithinPartitions("copy", "archive", "no").select("copy", "archive", "record")
     placed.write.mode("overwrite").partitionBy("copy", "archive").option("lineSep", GAP).option("compression", "gzip").text(folder)
 
