@@ -81,6 +81,8 @@ TEMPLATES = {
         "dedicated to the public domain under cc0 1.0",
     ],
     "proprietary": [
+        "all rights reserved",
+        "proprietary and confidential",
         "all rights reserved no part of this publication may be reproduced without prior written permission of the publisher",
         "proprietary and confidential unauthorized copying of this file is strictly prohibited",
     ],

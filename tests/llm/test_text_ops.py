@@ -169,6 +169,24 @@ def test_licence_model(spark):
     assert sum(found.get(i) == f for i, (f, _) in enumerate(held)) >= 0.9 * len(held)
 
 
+PLANTED = {
+    "this work is licensed under the gnu general public license version 3": "gpl", "all rights reserved": "proprietary",
+    "licensed under cc by-nc 4 0": "cc-by-nc", "released under the mit license": "mit", "licensed under the apache license version 2 0": "apache",
+}
+
+
+def test_licence_lines_of_a_whole_table(spark):
+    """Every licence line that the test table holds, counted by brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {}
+    for r in docs.collect():
+        lines = {" ".join(re.findall(r"[a-z0-9-]+", x)) for x in (r["text"] or "").lower().split("\n")}
+        want[r["doc_id"]] = ",".join(sorted({PLANTED[x] for x in lines if x in PLANTED}))
+    assert set(want.values()) >= set(PLANTED.values())
+    got = {r["doc_id"]: r["families"] for r in licences.families(docs, licences.train(spark, docs)).collect()}
+    assert got == want
+
+
 def test_warc_audit(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "PER_ARCHIVE", 40)
     pages = [(i, f"http://x/{i}", f"<p>é{i}</p>\r\n\r\nWARC/1.1") for i in range(100)] + [(None, None, None), (7, "http://x/7", "again"), (7, "http://x/7", "again")]
