@@ -1,6 +1,6 @@
 """Licence scan: a trained paragraph classifier with an unknown class, confirmed by templates.
 
-Paragraphs are lines with a word. Features are the words and word pairs of a paragraph. A multinomial logistic regression with
+Paragraphs are lines with a word, and passages that run over neighbouring lines. Features are the words and word pairs of a paragraph. A multinomial logistic regression with
 a mostly L1 penalty tells licence families and ``unknown`` apart; its temperature and the least probability that counts are
 set on held-out rows. A family that the model names is confirmed when a template of it is contained in the paragraph.
 
@@ -8,17 +8,24 @@ Training rows come from the templates, each varied by a rule, and from paragraph
 most ``UNKNOWN_ROWS`` of them. The model is a table of at most ``VOCABULARY`` features, which is broadcast. Paragraphs in which no
 feature can lift a family above unknown are not scored; that is a bound from the weights, so the model would name none of them.
 
+A sentence wrapped at any width is found as well: where a line of a block (lines with a word, none without between them) and
+the words that follow it hold a template together, the stretch of words that begins in the line, ends behind it and holds most
+of the template is scored like a paragraph, and counts for the line it begins in. It is named only for that template's family.
+
 Null and empty texts have no paragraphs and no families. Repeated rows are scanned each. Only the key and the text are read.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkmill.functions.rows import each
 from talkmill.llm.common import located, stored, text_or_empty
 
 UNKNOWN = "unknown"
@@ -99,13 +106,21 @@ BEFORE = ["", "note", "copyright 2021 the authors", "this page is part of the ar
 AFTER = ["", "see the license file for details", "https example.org license", "thank you for reading"]
 
 
-def grams(text: Column) -> Column:
-    """Distinct words and neighbouring word pairs."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+def grams_of(words: Column) -> Column:
+    """Distinct words and neighbouring word pairs of a list of words."""
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     return F.array_distinct(F.concat(words, pairs))
 
 
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def grams(text: Column) -> Column:
+    """The same for a text."""
+    return grams_of(words_of(text))
+
+
 def variations(sentence: str) -> list[str]:
     """A sentence with words around it, without single words, and twice; always the same list."""
     words = sentence.split()
@@ -154,8 +169,6 @@ def training_rows(spark: SparkSession, docs: DataFrame, text: str = "text", limi
 
 
 def train(spark: SparkSession, docs: DataFrame, text: str = "text") -> Model:
-    import math
-
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer
 
@@ -199,13 +212,85 @@ def train(spark: SparkSession, docs: DataFrame, text: str = "text") -> Model:
     return model
 
 
+@dataclass(frozen=True)
+class Shape:
+    """A template: its family, its number of words, its features, and some of them of which any text that contains it holds one."""
+
+    family: str
+    size: int
+    grams: list[str]
+
+    @property
+    def rare(self) -> list[str]:
+        """More features than a text may lack, so at least one is in it: word pairs, long ones first."""
+        lacking = len(self.grams) - math.ceil(CONTAINED * len(self.grams) - 1e-9)
+        return sorted(self.grams, key=lambda g: (" " not in g, -len(g), g))[:lacking + 1]
+
+
+def template_shapes(spark: SparkSession) -> list[Shape]:
+    named = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, template string")
+    words = words_of(F.col("template"))
+    return [Shape(r["family"], r["size"], r["grams"]) for r in named.select("family", F.size(words).alias("size"), grams_of(words).alias("grams")).collect()]
+
+
+#: Words beside a template's own that a stretch may hold, such as the comment marks of its lines.
+SLACK = 8
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def wrapped(lines: Column, at: Column, shapes: list[Shape]) -> Column:
+    """asked, grams: stretches of words that begin in line ``at`` (from 0), end behind it, and contain a template of ``asked``.
+
+    A template has fewer words than ``reach``, and each further line of a block has one at least. So only the last words of
+    the line, the lines behind it and their first words are looked at, and no stretch is missed at any width of lines."""
+    reach = max(s.size for s in shapes) + SLACK
+    kind = "array<struct<asked:string,grams:array<string>>>"
+    none = F.array().cast(kind)
+
+    def more(acc: Column, x: Column) -> Column:
+        joined = lambda w: F.struct(F.slice(F.concat(acc["words"], w), 1, reach).alias("words"), (F.size(w) > 0).alias("open"))
+        return F.when(acc["open"] & (F.size(acc["words"]) < reach), let(words_of(x["line"]), joined)).otherwise(acc)
+
+    start = F.struct(F.array().cast("array<string>").alias("words"), F.lit(True).alias("open"))
+    behind = F.aggregate(F.slice(lines, at + 2, reach), start, more, lambda acc: acc["words"])
+    table = F.array(*[F.struct(F.lit(s.family).alias("family"), F.lit(s.size).alias("size"), F.array(*map(F.lit, s.grams)).alias("grams")) for s in shapes])
+    rare = F.array(*map(F.lit, sorted({g for s in shapes for g in s.rare})))
+    share = lambda t, g: F.size(F.array_intersect(t["grams"], g)) / F.size(t["grams"])
+
+    def best(t: Column, first: Column, both: Column) -> Column:
+        """The stretch that holds most of the template, the first of equal ones."""
+        size = t["size"] + SLACK
+        begins = F.sequence(F.greatest(F.lit(0), F.size(first) - size + 1), F.size(first) - 1)
+        stretch = lambda o: let(grams_of(F.slice(both, o + 1, size)), lambda g: F.struct(share(t, g).alias("share"), (-o).alias("o"), g.alias("grams")))
+        return F.struct(t["family"].alias("asked"), F.array_max(F.transform(begins, stretch)).alias("best"))
+
+    def found(first: Column, both: Column, g: Column) -> Column:
+        near = F.filter(table, lambda t: share(t, g) >= CONTAINED)
+        hits = F.filter(F.transform(near, lambda t: best(t, first, both)), lambda x: x["best"]["share"] >= CONTAINED)
+        return F.when(F.arrays_overlap(g, rare), F.transform(hits, lambda x: F.struct(x["asked"].alias("asked"), x["best"]["grams"].alias("grams")))).otherwise(none)
+
+    def looked(first: Column, rest: Column) -> Column:
+        inner = let(F.concat(first, rest), lambda both: let(grams_of(both), lambda g: found(first, both, g)))
+        return F.when((F.size(first) > 0) & (F.size(rest) > 0), inner).otherwise(none)
+
+    def last(words: Column) -> Column:
+        return F.slice(words, F.greatest(F.size(words) - reach + 1, F.lit(1)), reach)
+
+    return let(last(words_of(F.element_at(lines, at + 1)["line"])), lambda first: let(behind, lambda rest: looked(first, rest)))
+
+
 def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, file, row, paragraph (line number), family, probability, contained, confirmed: the paragraphs the model gives a family."""
+    """key, file, row, paragraph (line number), family, probability, contained, confirmed: the paragraphs the model gives a family.
+
+    ``paragraph`` is the line in which it begins; a line may have a row of its own and rows of passages."""
     spark = docs.sparkSession
     n = len(model.families)
-    shapes = [(f, t) for f, ts in TEMPLATES.items() for t in ts]
-    shapes = spark.createDataFrame(shapes, "family string, template string").select("family", grams(F.col("template")).alias("grams")).collect()
-    of_templates = sorted({g for r in shapes for g in r["grams"]})
+    shapes = template_shapes(spark)
+    of_templates = sorted({g for r in shapes for g in r.grams})
     number = {g: k for k, g in enumerate(of_templates)}
     # Features of the model and of the templates; what only a template has weighs nothing.
     known = [(g, number.get(g), *model.weights.get(g, [0.0] * n)) for g in sorted({*model.weights, *of_templates})]
@@ -213,29 +298,36 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     words = model.cue_words()
     pattern = "(?<![a-z0-9])(?:" + "|".join(map(re.escape, words)) + ")(?![a-z0-9])" if words else "(?!)"
     rows = located(docs.select(key, text)).select(F.col(key).alias("key"), F.col("__file").alias("file"), F.col("__row").alias("row"), text_or_empty(text).alias("text"))
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, at: F.struct(at.alias("paragraph"), x.alias("line"))), lambda x: F.lower(x["line"]).rlike(pattern))
-    paragraphs = rows.select("key", "file", "row", F.explode(lines).alias("x")).select("key", "file", "row", "x.paragraph", grams(F.col("x.line")).alias("grams"))
-    place = ["key", "file", "row", "paragraph"]
+    marked = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("line"), F.lower(x).rlike(pattern).alias("cue")))
+    rows = each(rows, F.array(marked), "one", "lines", "key", "file", "row").filter(F.exists("lines", lambda x: x["cue"]))
+    # Only stretches with a cue can be named, so lines without one in them or in the lines that they reach are left out.
+    reach = max(s.size for s in shapes) + SLACK
+    near = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda at: F.exists(F.slice("lines", at + 1, reach + 1), lambda x: x["cue"]))
+    near = each(rows, near, "n", "paragraph", "key", "file", "row", "lines")
+    alone = lambda x: F.when(x["cue"], F.array(F.struct(F.lit(None).cast("string").alias("asked"), grams(x["line"]).alias("grams"))))
+    both = F.concat(F.coalesce(alone(F.element_at("lines", F.col("paragraph") + 1)), F.array().cast("array<struct<asked:string,grams:array<string>>>")), wrapped(F.col("lines"), F.col("paragraph"), shapes))
+    paragraphs = each(near, both, "part", "x", "key", "file", "row", "paragraph").select("key", "file", "row", "paragraph", "part", "x.asked", "x.grams")
+    place = ["key", "file", "row", "paragraph", "part", "asked"]
     hits = paragraphs.select(*place, F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")
     sums = hits.groupBy(*place).agg(*[(F.sum(f"w{k}") + F.lit(model.intercepts[k])).alias(f"s{k}") for k in range(n)], F.collect_set("number").alias("numbers"))
     top = F.greatest(*[F.col(f"s{k}") for k in range(n)])
     total = sum((F.exp((F.col(f"s{k}") - top) / model.temperature) for k in range(1, n)), F.exp((F.col("s0") - top) / model.temperature))
     best = F.array(*[F.struct(F.col(f"s{k}").alias("s"), F.lit(model.families[k]).alias("family")) for k in range(n)])
     named = sums.select(*place, "numbers", F.array_max(best)["family"].alias("family"), (1 / total).alias("probability")).filter(
-        (F.col("family") != UNKNOWN) & (F.col("probability") >= model.least)
+        (F.col("family") != UNKNOWN) & (F.col("probability") >= model.least) & F.coalesce(F.col("asked") == F.col("family"), F.lit(True))
     )
-    by_family = [(f, [[number[g] for g in r["grams"]] for r in shapes if r["family"] == f]) for f in TEMPLATES]
+    by_family = [(f, [[number[g] for g in r.grams] for r in shapes if r.family == f]) for f in TEMPLATES]
     shapes = spark.createDataFrame(by_family, "family string, templates array<array<int>>")
     share = F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("numbers"))) / F.size(t))
     compared = named.join(F.broadcast(shapes), "family").withColumn("contained", F.array_max(share))
-    return compared.select(*place, "family", "probability", "contained", (F.col("contained") >= CONTAINED).alias("confirmed"))
+    return compared.select("key", "file", "row", "paragraph", "family", "probability", "contained", (F.col("contained") >= CONTAINED).alias("confirmed"))
 
 
 def families(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_paragraphs (named ones), families (confirmed, in order): one row per document."""
     placed = located(docs.select(key, text))
     found = scan(placed, model, key, text).groupBy("file", "row").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families")
+        F.size(F.collect_set("paragraph")).cast("bigint").alias("n"), F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families")
     )
     rows = placed.select(key, F.col("__file").alias("file"), F.col("__row").alias("row"))
     return rows.join(stored(found, "licences"), ["file", "row"], "left").select(

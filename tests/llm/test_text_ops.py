@@ -187,6 +187,35 @@ def test_licence_lines_of_a_whole_table(spark):
     assert got == want
 
 
+HEADERS = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights""",
+    "bsd": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice""",
+    "gpl": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version""",
+    "lgpl": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation; either version 2.1 of the License""",
+}
+
+
+def test_wrapped_licence_headers(spark):
+    """Headers at several widths, plain, in comments, and behind another line; a blank line ends a passage."""
+    import textwrap
+
+    cases = []
+    for family, header in HEADERS.items():
+        for width in (30, 72, 80):
+            lines = textwrap.wrap(" ".join(header.split()), width)
+            cases += [("\n".join(lines), family), ("\n".join(f" * {x}" for x in ["Some tool.", *lines]), family)]
+    broken = textwrap.wrap(" ".join(HEADERS["mit"].split()), 30)
+    cases += [("\n\n".join(broken), ""), ("Released under the MIT\nLicense.", "mit"), ("All\nrights\nreserved.\nReleased under the MIT License.", "mit,proprietary")]
+    filler = [f"{a} the of ran and lo the of and {b} to in." for a in "abcdefgh" for b in "klmnopqr"]
+    model = licences.train(spark, documents(spark, ["\n".join(filler)]))
+    got = {r["doc_id"]: r["families"] for r in licences.families(documents(spark, [c[0] for c in cases]), model).collect()}
+    assert got == {i: c[1] for i, c in enumerate(cases)}
+
+
 def test_warc_audit(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "PER_ARCHIVE", 40)
     pages = [(i, f"http://x/{i}", f"<p>é{i}</p>\r\n\r\nWARC/1.1") for i in range(100)] + [(None, None, None), (7, "http://x/7", "again"), (7, "http://x/7", "again")]
