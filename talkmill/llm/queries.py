@@ -183,14 +183,13 @@ WARC_SQL = r"""
 
 @query("op10_warc_fixity", WARC_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages in WARC archives, with what an audit finds against a replica in which a sign of some records is changed
+    """All pages in WARC archives, with what an audit finds against a replica in which a stored byte of some records is flipped
     (ids that leave 7 when divided by 101) and others are blank (13, by 2111)."""
     rows = warc.records(table(spark, sf_dir, "pages"))
     folder = new_folder(spark, "archives")
     size = F.octet_length("record").cast("int")
-    damaged = F.when(F.col("key") % 101 == 7, F.concat(F.lit("w"), F.expr("substring(record, 2)"))).when(
-        F.col("key") % 2111 == 13, F.repeat(F.lit(" "), size)).otherwise(F.col("record"))
-    warc.write_archives(rows, folder, {"store": F.col("record"), "replica": damaged})
+    damaged = F.when(F.col("key") % 2111 == 13, F.repeat(F.lit(" "), size)).otherwise(F.col("record"))
+    warc.write_archives(rows, folder, {"store": F.col("record"), "replica": damaged}, {"replica": F.col("key") % 101 == 7})
     manifest = stored(rows.drop("record"), "manifest", "zstd")
     differ, roots = warc.audit(spark, manifest, f"{folder}/copy=store", f"{folder}/copy=replica")
     found = differ.select("archive", "no", F.lit(True).alias("differs"))

@@ -235,6 +235,35 @@ def test_warc_audit(spark, tmp_path, monkeypatch):
     assert warc.audit(spark, manifest, one, one)[0].count() == 0
 
 
+def test_warc_stored_bytes(spark, tmp_path):
+    """A flipped byte anywhere in a stored file costs one record, a tail cut off the records in it, and a lost file all of its own."""
+    import gzip
+
+    pages = [(i, f"http://x/{i}", f"<p>é{i}</p>" * (i + 1)) for i in range(30)]
+    rows = warc.records(spark.createDataFrame(pages, "page_id bigint, url string, html string")).cache()
+    warc.write_archives(rows, str(tmp_path / "a"), {"one": F.col("record"), "two": F.col("record")})
+    one, two = (str(tmp_path / "a" / f"copy={c}") for c in ("one", "two"))
+    manifest = rows.drop("record").cache()
+    [path] = (tmp_path / "a" / "copy=two").glob("archive=*/part-*")
+    whole = path.read_bytes()
+    path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+    texts = [r["record"] for r in rows.orderBy("no").collect()]
+    assert gzip.decompress(whole).decode() == "".join(t + warc.GAP for t in texts)
+    places = spark.read.parquet(warc._index_folder(two)).orderBy("no").collect()
+    lost = lambda: sorted(r["no"] for r in warc.read_ranges(spark, two, manifest).filter("found IS NULL").collect())
+    p = places[11]
+    for at in (p["at"], p["at"] + 5, p["at"] + 17, p["at"] + 60, p["at"] + p["size"] - 21, p["at"] + p["size"] - 1):
+        path.write_bytes(whole[:at] + bytes([whole[at] ^ 4]) + whole[at + 1:])
+        assert lost() == [11]
+    assert [r["no"] for r in warc.audit(spark, manifest, one, two)[0].collect()] == [11]
+    path.write_bytes(whole[:places[20]["at"] + 9])
+    assert lost() == list(range(20, 30))
+    path.unlink()
+    assert lost() == list(range(30))
+    differ, roots = warc.audit(spark, manifest, two, two)
+    assert differ.count() == 30 and roots.count() == 1
+
+
 def test_warc_tree_by_hand(spark):
     ranges = spark.createDataFrame([("a", i, 10 * i, 10, f"h{i}") for i in range(20)], "archive string, no bigint, offset bigint, length bigint, found string")
     levels = warc.tree(ranges, "found", 2)
