@@ -3,8 +3,10 @@
 Turns are laid end to end by the prefix sums of their tokens. The sums alone choose the windows: a turn belongs to the stride
 its start falls into, and a turn that would carry its stride's window over the budget gets a window of its own, so any turn's
 window is known without looking at its neighbours. Each window is led by the conversation's system turn and by as many
-earlier turns as the history budget holds; what is repeated is not under the loss mask. A turn is never cut: one that is
-longer than the budget stands alone and exceeds it.
+earlier turns as the history budget holds; what is repeated is not under the loss mask. Beside the system turn, history takes at most half of what is
+left. Where a long turn has a window of its own, only as much history is put before it as the budget leaves, and the system turn
+only if both fit. So a window exceeds the budget only if it is a single turn that does: a turn is never cut. A system turn of
+the budget or more is not repeated.
 
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside texts and roles a backslash is put into ``<|`` (and one more into
 ``<\\|``, and so on), which can be undone, so control strings in a text stay text. In a role, new lines and the signs of their
@@ -31,8 +33,9 @@ SYSTEM, REPEATED, NEW = range(3)
 
 
 def count_tokens(text: Column) -> Column:
-    """A stand-in for a tokenizer that needs no Python: words and single signs, and four for the turn's marks."""
-    return F.regexp_count(text, F.lit(r"\w+|[^\w\s]")).cast("bigint") + 4
+    """A stand-in for a tokenizer that needs no Python: words and single signs, and four for the turn's marks. A run of more than
+    32 letters and digits, such as base64, counts each of them."""
+    return F.regexp_count(text, F.lit(r"(?<!\w)\w{1,32}(?!\w)|\w|[^\w\s]")).cast("bigint") + 4
 
 
 def escape(text: Column) -> Column:
@@ -88,12 +91,16 @@ def windows(
     """conv, window (stride and part), formatted, n_context (leading turns that are repeated), loss (spans of code points
     under the mask: offset and size), tokens."""
     rows = stored(placed_turns(turns, (conv, turn, role, text), tokens), "chat-turns")
-    room = F.lit(budget - history) - F.least(F.col("system_tokens"), F.lit(budget // 4))
-    rows = rows.withColumn("room", room).withColumn("stride", F.floor(F.col("room") * 3 / 4))
+    # A system turn that fills a window by itself is not repeated and takes no room from others.
+    rows = rows.withColumn("system_tokens", F.when(F.col("system_tokens") < budget, F.col("system_tokens")).otherwise(0))
+    left = F.lit(budget) - F.col("system_tokens")
+    rows = rows.withColumn("room", left - F.least(F.lit(history), F.floor(left / 2))).withColumn("stride", F.greatest(F.floor(F.col("room") * 3 / 4), F.lit(1)))
     at = F.floor(F.col("start") / F.col("stride"))
     over = F.col("end") > at * F.col("stride") + F.col("room")
     new = rows.withColumn("window", F.struct(at.alias("stride"), over.cast("int").alias("part")))
-    spans = new.filter(F.col("conv_tokens") > F.col("stride")).groupBy("conv", "window").agg(F.min("start").alias("from")).filter(F.col("from") > 0)
+    spans = new.filter(F.col("conv_tokens") > F.col("stride")).groupBy("conv", "window").agg(
+        F.min("start").alias("from"), (F.lit(budget) - F.sum("tokens") - F.first("system_tokens")).alias("free")
+    ).filter((F.col("from") > 0) & (F.col("free") >= 0))
     # A turn is history for the windows that start within the history budget after it; they lie in few strides.
     last = F.floor((F.col("start") + history) / F.col("stride"))
     first = F.floor(F.col("end") / F.col("stride"))
@@ -102,9 +109,9 @@ def windows(
         "conv", "no", "role", "text", "tokens", "start", "end", F.explode(F.sequence(first, last)).alias("at")
     )
     repeated = older.join(spans.withColumn("at", F.col("window.stride")), ["conv", "at"]).filter(
-        (F.col("from") >= F.col("end")) & (F.col("from") - F.col("start") <= history)
+        (F.col("from") >= F.col("end")) & (F.col("from") - F.col("start") <= F.least(F.lit(history), F.col("free")))
     )
-    system = rows.filter(leads & (F.col("conv_tokens") > F.col("stride"))).select("conv", "no", "role", "text", "tokens")
+    system = rows.filter(leads & (F.col("system_tokens") > 0) & (F.col("conv_tokens") > F.col("stride"))).select("conv", "no", "role", "text", "tokens")
     led = spans.join(system, "conv")
     kept = ["conv", "window", "no", "role", "text", "tokens"]
     pieces = (

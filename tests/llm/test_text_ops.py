@@ -149,6 +149,26 @@ def test_chat_windows(spark, budget, history):
     assert chat.windows(turns.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("system", [300, 900, 1496, 1790, 2043, 2044, 3000])
+def test_chat_budget_with_long_turns(spark, system):
+    """Every window that holds no oversized turn keeps to the budget, whatever the system turn's size."""
+    rng = random.Random(system)
+    sizes = [system, 1500, 508, 40, 1900, 3000] + [rng.choice([20, 200, 700]) for _ in range(20)]
+    rows = [(1, t, "system" if t == 0 else rng.choice(["user", "assistant"]), "w " * n) for t, n in enumerate(sizes)]
+    found = chat.read_back(chat.windows(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).collect()
+    for w in found:
+        assert w["tokens"] <= chat.BUDGET or (len(w["turns"]) == 1 and w["n_context"] == 0 and w["tokens"] == len(w["turns"][0]["text"]) / 2 + 4 > chat.BUDGET)
+    assert [t["text"] for w in sorted(found, key=lambda w: tuple(w["window"])) for t in w["turns"]] == [r[3] for r in rows]
+    if system < 1500:
+        assert sum(w["formatted"].startswith("<|im_start|>system") for w in found) >= len(found) / 2
+
+
+def test_chat_tokens_of_long_runs(spark):
+    texts = ["A1b2" * 25_000, "two words", "é!", "x" * 32 + " " + "x" * 33, "snake_case it's"]
+    got = [r[0] for r in documents(spark, texts).orderBy("doc_id").select(chat.count_tokens(F.col("text"))).collect()]
+    assert got == [100_004, 6, 6, 38, 8]
+
+
 def test_licence_model(spark):
     filler = [" ".join(f"{a}{b}" for b in ("the", "of", "ran", "lo", "and")) + f" the of and {a} to in." for a in "abcdefghijklmnopqrstuvwxyz"]
     corpus = documents(spark, ["\n".join(filler), None, ""])
