@@ -7,8 +7,11 @@ lower bound its share of the unit interval. The sum over all queues is exactly 1
 window, so the deficits also carry across partitions. When a queue cannot fill its share any more, the next phase deals
 its share to the others; what is left at the end is packed in a row, the last tokens as sequences of powers of two.
 
-Sources with less than 1/1024 of all tokens share one queue, so there are at most 1,025 queues at any size, and only their
-totals reach the driver. A source may hold any part of all rows: its place in the queue comes from counts per file.
+Sources of ``targets`` have a queue each. Of the others, those with less than 1/1024 of all tokens share one queue, so besides
+the targets there are at most 1,025 queues at any size, and only their totals reach the driver. In the shared queue every source
+is dealt out in runs of at most RUN tokens, spread evenly over the whole queue, so each stretch of it has their proportions.
+A source may hold any part of all rows: its place in the queue comes from counts per file. Targets that cannot be met in any
+window are refused: those of sources without tokens, and those below a token per window.
 
 A null or empty text has the end token only; a null source counts as the source "null". Repeated rows are packed each. Only the key, the
 source and the text are read. A text of any length is cut wherever windows end; each token lies in exactly one piece.
@@ -34,6 +37,8 @@ UNITS = 1 << 20
 #: Smallest share of a queue of its own: a token per window, below which its count could not grow steadily.
 LEAST = UNITS // WINDOW
 POOL = "pool"
+#: Tokens of a run of the shared queue, and tokens of it whose runs are put in order together.
+RUN, STRETCH = 64, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -70,11 +75,11 @@ class Schedule:
 
 
 def units(weights: dict[str, float]) -> dict[str, int]:
-    """Whole units that sum to UNITS; queues below the least share are left out."""
+    """Whole units that sum to UNITS; queues below the least share are left out, but not the shared one, which then comes first."""
     total = sum(weights.values())
-    kept = {q: w for q, w in weights.items() if w * UNITS >= LEAST * total}
+    kept = {q: w for q, w in weights.items() if w * UNITS >= LEAST * total or q == POOL}
     total = sum(kept.values())
-    got = {q: max(LEAST, int(w * UNITS / total)) for q, w in kept.items()}
+    got = {q: max(LEAST, int(w * UNITS / total)) if q != POOL else int(w * UNITS / total) + 1 for q, w in sorted(kept.items(), key=lambda x: x[0] != POOL)}
     if got:
         got[max(got, key=got.get)] += UNITS - sum(got.values())
     return got
@@ -128,7 +133,7 @@ def cut(schedule: Schedule, queue: str, begin: int, size: int) -> tuple[np.ndarr
         if a >= b:
             continue
         near = lambda x: (x << 10) // (s.upper - s.lower)
-        k = np.arange(max(0, near(a - s.begin) - 2), min(s.windows, near(b - 1 - s.begin) + 3), dtype=np.int64)
+        k = np.arange(max(0, near(a - s.begin) - 2), min(s.windows, near(b - s.begin) + 3), dtype=np.int64)
         from_, to = s.begin + s.given(k), s.begin + s.given(k + 1)
         k, from_ = k[(to > a) & (from_ < b) & (to > from_)], from_[(to > a) & (from_ < b) & (to > from_)]
         first = np.maximum(from_, a)
@@ -195,6 +200,22 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
     return rows.mapInArrow(run, schema)
 
 
+def pool_runs(counts: DataFrame, whole: int) -> DataFrame:
+    """source, run, run_at: where each run of the shared queue's sources begins in it. ``counts`` has n, the tokens of a source.
+
+    Runs of a source lie evenly between 0 and 1, from a place given by its hash; stretches of that line are summed apart."""
+    stretches = whole // STRETCH + 1
+    runs = counts.withColumn("runs", F.ceil(F.col("n") / RUN)).select("source", "n", "runs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("runs") - 1)).alias("run"))
+    place = (F.col("run") + F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / (1 << 20)) / F.col("runs")
+    runs = runs.select("source", "run", place.alias("place"), F.least(F.lit(RUN), F.col("n") - F.col("run") * RUN).alias("size")).withColumn("stretch", F.floor(F.col("place") * stretches))
+    ordered = Window.partitionBy("stretch").orderBy("place", "source").rowsBetween(Window.unboundedPreceding, -1)
+    totals = runs.groupBy("stretch").agg(F.sum("size").alias("n"))  # a row for each STRETCH tokens
+    earlier = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("stretch_at"))
+    inside = runs.withColumn("inside", F.coalesce(F.sum("size").over(ordered), F.lit(0)))
+    return inside.join(totals, "stretch").select("source", "run", (F.col("stretch_at") + F.col("inside")).alias("run_at"))
+
+
 def pack(
     docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", source: str = "source", targets: dict[str, float] | None = None,
 ) -> DataFrame:
@@ -206,29 +227,44 @@ def pack(
     per_file = stored(tokens.groupBy("source", "part").agg(F.sum("doc_tokens").alias("n")), "token-counts")
     per_source = per_file.groupBy("source").agg(F.sum("n").alias("n"))
     whole = per_source.agg(F.sum("n")).first()[0] or 0
-    own = per_source.filter(F.col("n") * WINDOW >= F.lit(whole))  # at most 1,024 rows
+    # At most 1,024 rows, and one for each target.
+    own = per_source.filter((F.col("n") * WINDOW >= F.lit(whole)) | F.col("source").isin(sorted(targets or {})))
     named = {r["source"]: r["n"] for r in own.collect()}
+    if targets and whole:
+        least = sum(targets.values()) / WINDOW
+        for s, w in targets.items():
+            if w and (s not in named or not w >= least):
+                raise ValueError(f"target of source {s!r} cannot be met: " + ("it has no tokens" if s not in named else "it is below a token per window"))
     totals = {f"source {s}": n for s, n in named.items()}
     if whole > sum(totals.values()):
         totals[POOL] = whole - sum(totals.values())
     schedule = plan(totals, targets and {f"source {s}": w for s, w in targets.items()})
-    # Where each file's tokens of a source begin in the queue: counts per (queue, file), then per source inside the file.
-    in_queue = per_file.withColumn("queue", F.when(F.col("source").isin(sorted(named)), F.concat(F.lit("source "), "source")).otherwise(F.lit(POOL)))
-    files = in_queue.groupBy("queue", "part").agg(F.sum("n").alias("file_n"))
-    earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("queue", "part", F.coalesce(F.sum("file_n").over(earlier), F.lit(0)).alias("file_at"))
-    inside = Window.partitionBy("queue", "part").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
-    begins = in_queue.withColumn("source_at", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(files, ["queue", "part"]).select(
-        "source", "part", "queue", (F.col("file_at") + F.col("source_at")).alias("begin")
-    )
+    # Where each file's tokens of a source begin among the source's tokens.
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    queue = F.when(F.col("source").isin(sorted(named)), F.concat(F.lit("source "), "source")).otherwise(F.lit(POOL))
+    begins = per_file.select("source", "part", queue.alias("queue"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
     begins = stored(begins, "queue-begins")
     placed = tokens.join(begins, ["source", "part"]).select(
-        "key", "queue", (F.col("begin") + F.col("before")).alias("begin"), "doc_tokens", "ids"
+        "key", "source", "queue", (F.col("begin") + F.col("before")).alias("begin"), "doc_tokens", "ids", F.lit(0).cast("bigint").alias("skip")
     )
+    if POOL in totals:
+        runs = stored(pool_runs(per_source.filter(~F.col("source").isin(sorted(named))), totals[POOL]), "pool-runs")
+        stop = F.col("begin") + F.col("doc_tokens")
+        first = lambda r: F.greatest(F.col("begin"), r * RUN)
+        piece = lambda r: F.struct(
+            r.alias("run"), first(r).alias("at"),
+            F.substring("ids", ((first(r) - F.col("begin")) * 2 + 1).cast("int"), ((F.least(stop, (r + 1) * RUN) - first(r)) * 2).cast("int")).alias("ids"),
+        )
+        of_doc = F.transform(F.sequence(F.floor(F.col("begin") / RUN), F.floor((stop - 1) / RUN)), piece)
+        dealt = placed.filter(F.col("queue") == POOL).select("key", "source", "queue", "begin", "doc_tokens", F.explode(of_doc).alias("x"))
+        dealt = dealt.select("key", "source", "queue", F.col("begin").alias("doc_at"), "doc_tokens", "x.run", "x.at", "x.ids").join(runs, ["source", "run"])
+        dealt = dealt.select("key", "source", "queue", (F.col("run_at") + F.col("at") - F.col("run") * RUN).alias("begin"), "doc_tokens", "ids", (F.col("at") - F.col("doc_at")).alias("skip"))
+        placed = placed.filter(F.col("queue") != POOL).unionByName(dealt)
+    placed = placed.drop("source")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            queues, begins, ids = (batch.column(c).to_pylist() for c in ("queue", "begin", "ids"))
+            queues, begins, ids, skips = (batch.column(c).to_pylist() for c in ("queue", "begin", "ids", "skip"))
             for lo in range(0, batch.num_rows, 256):
                 rows, starts, lengths, sequences, offsets, parts = [], [], [], [], [], []
                 for n in range(lo, min(lo + 256, batch.num_rows)):
@@ -236,7 +272,7 @@ def pack(
                     start, sequence, offset = cut(schedule, queues[n], begins[n], size)
                     length = np.diff(np.r_[start, size])
                     rows.append(np.full(len(start), n))
-                    starts.append(start)
+                    starts.append(start + skips[n])
                     lengths.append(length)
                     sequences.append(sequence)
                     offsets.append(offset)

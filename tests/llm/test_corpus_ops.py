@@ -194,6 +194,38 @@ def test_packing(spark, targets):
         assert abs(first[s] - packing.WINDOW * w) <= 2
 
 
+def test_packing_many_small_sources(spark):
+    """Each half of the windows has about half of every small source, and every token lies in one piece."""
+    rows = [(i, "word " * 300, f"s{i % 1100}", "clash", "clash") for i in range(2200)]
+    pieces = packing.pack(table(spark, rows).repartition(3), tokenizer_path()).collect()
+    whole, half, spans = collections.Counter(), collections.Counter(), collections.defaultdict(list)
+    last = max(p["sequence_id"] for p in pieces)
+    for p in pieces:
+        source = p["doc_id"] % 1100
+        whole[source] += p["length"]
+        half[source] += p["length"] if 2 * p["sequence_id"] < last else 0
+        spans[p["doc_id"]].append((p["start"], p["start"] + p["length"]))
+    assert len(whole) == 1100 and all(abs(half[s] - n / 2) <= 128 for s, n in whole.items())
+    for p in pieces:
+        assert len(p["ids"]) == 4 * p["length"]
+    for d, found in spans.items():
+        found.sort()
+        assert found[0][0] == 0 and all(a[1] == b[0] for a, b in zip(found, found[1:])) and found[-1][1] * 1100 * 2 == sum(whole.values())
+
+
+def test_packing_targets_of_small_sources(spark):
+    rows = [(0, "word " * 500, "wiki", "", ""), *((i, "word " * 60_000, "web", "", "") for i in range(1, 12))]
+    docs = table(spark, rows)
+    first = collections.Counter()
+    for p in packing.pack(docs, tokenizer_path(), targets={"wiki": 0.3, "web": 0.7}).collect():
+        if p["sequence_id"] == 0:
+            first["wiki" if p["doc_id"] == 0 else "web"] += p["length"]
+    assert abs(first["wiki"] - 0.3 * packing.WINDOW) <= 1 and sum(first.values()) == packing.WINDOW
+    for bad in ({"wiki": 0.0001, "web": 0.9999}, {"none": 0.5, "web": 0.5}):
+        with pytest.raises(ValueError):
+            packing.pack(docs, tokenizer_path(), targets=bad)
+
+
 def test_packed_sequences(spark):
     rows = rows_of(corpus(20, 2))
     pieces = packing.pack(table(spark, rows), tokenizer_path())
