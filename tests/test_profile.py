@@ -75,11 +75,12 @@ def test_digests_and_batches(spark):
     linked = spark.createDataFrame([("s1", "project", f"p{i}", f"L{i}") for i in range(7)], "session_id string, entity_type string, entity_id string, label string")
     digests = pf.session_digests(sessions, messages, analytics, linked)
     first = digests.filter("session_id = 's1'").first()
-    assert (first["project_count"], first["linked_projects"], len(first["first_user_snippet"])) == (7, ["L0", "L1", "L2", "L3", "L4"], 150)
+    assert (first["project_count"], first["linked_projects"], len(first["first_user_snippet"])) == (7, [f"L{i}" for i in range(7)], 150)
     batches = pf.digest_batches(digests, 2).orderBy("batch_no").collect()
     ids = [[d["id"] for d in json.loads(b["digests"])] for b in batches]
     assert ids == [["s4", "s3"], ["s2", "s1"], ["s0"]]
     digest = json.loads(batches[1]["digests"])[1]
+    assert digest["projects"] == ["L0", "L1", "L2", "L3", "L4"]
     assert digest["keywords"] == list("abcdefgh") and digest["date"] == "2024-01-01T00:00:00.000Z" and json.loads(batches[2]["digests"])[0]["date"] is None
 
 
