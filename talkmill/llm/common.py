@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the contracts: everything between ASCII white space.
@@ -82,10 +82,37 @@ def without(rows: DataFrame, key: list[str], dropped: DataFrame, bits: int = MAP
 def located(docs: DataFrame) -> DataFrame:
     """The rows with ``__file`` and ``__row``, where their content stands: a hash of the file's path and the row's number in it.
 
-    Rows that do not come straight from files are first written to the shared folder.
+    Rows that do not come straight from files are first written to the shared folder. For columns chosen by the operator;
+    ``packed`` serves rows with columns of any names.
     """
     place = {"__file": F.xxhash64("_metadata.file_path"), "__row": F.col("_metadata.row_index")}
     try:
         return docs.withColumns(place)
     except AnalysisException:
         return stored(docs, "located").withColumns(place)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Every row as a struct ``__doc``, so that its columns clash with no name used here, with ``__file`` and ``__row``."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
+    if "_metadata" in docs.columns:
+        return located(stored(docs.select(whole), "packed"))
+    return located(docs.select(whole))
+
+
+def positions(rows: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """Number the rows of every group from 0 in the given order, without gathering a group in one task.
+
+    Rows are range-partitioned and sorted by group and order, and stored, so that a lost executor cannot shift a number. A row's
+    number is its place in its partition plus the rows that its group has in earlier ones; only one row per group and partition is
+    summed up. The group's columns are never null, and the order is total or leaves only rows that are alike. The rows are
+    computed twice, the first time to find the ranges, so they should come from a stored table.
+    """
+    keys = [F.col(c) for c in group]
+    at = F.monotonically_increasing_id()
+    placed = stored(rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__at", at), "positions")
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    parts = placed.groupBy(*group, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).drop("__n", "__first")
+    return placed.join(starts, [*group, "__part"]).withColumn(name, F.col("__at") + F.col("__start")).drop("__at", "__part", "__start")

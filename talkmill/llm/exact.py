@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import keep_possible, located, new_folder, stored, text_or_empty, without
+from talkmill.llm.common import keep_possible, located, new_folder, packed, stored, text_or_empty, without
 
 #: Arrivals that a micro-batch takes at most; one takes about 60 bytes.
 BYTES_PER_TRIGGER = 1 << 30
@@ -109,7 +109,7 @@ def _shown(placed: DataFrame, key: str) -> DataFrame:
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with their own columns."""
-    rows = located(docs)
-    found = groups(rows, key, text)
+    rows = packed(docs)
+    found = groups(rows.select(F.col("__doc")[key].alias("key"), F.col("__doc")[text].alias("text"), "__file", "__row"), "key", "text")
     dropped = found.filter(~F.col("kept")).select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    return without(rows, ["__file", "__row"], stored(dropped, "dropped")).select(*docs.columns)
+    return without(rows, ["__file", "__row"], stored(dropped, "dropped")).select("__doc.*")

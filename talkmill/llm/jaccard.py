@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkmill.llm.common import keep_possible, located, stored, without
+from talkmill.llm.common import keep_possible, located, packed, stored, without
 
 WORDS, SIMILARITY = 5, 75
 #: Counters of the frequency table: 2^24, one byte each after scaling.
@@ -357,10 +357,10 @@ def near_duplicates(
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay when one of each component does: the one with the smallest key, of equal keys the first stored."""
-    rows = located(docs)
-    found = stored(near_duplicates(rows, key, text), "near-duplicates")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col(key).alias("k"), *NODE)).alias("first"), F.count("*").alias("c"), F.max("n_shingles").alias("m"))
+    rows = packed(docs)
+    found = stored(near_duplicates(rows.select(F.col("__doc")[key].alias("key"), F.col("__doc")[text].alias("text")), "key", "text"), "near-duplicates")
+    first = found.groupBy("component_id").agg(F.min(F.struct("key", *NODE)).alias("first"), F.count("*").alias("c"), F.max("n_shingles").alias("m"))
     stay = first.filter("c > 1 AND m > 0").select("component_id", "first")
-    gone = found.filter("n_shingles > 0").join(stay, "component_id").filter(F.struct(F.col(key).alias("k"), *NODE) != F.col("first"))
+    gone = found.filter("n_shingles > 0").join(stay, "component_id").filter(F.struct("key", *NODE) != F.col("first"))
     gone = stored(gone.select(F.col("file").alias("__file"), F.col("row").alias("__row")), "gone")
-    return without(rows, ["__file", "__row"], gone).select(*docs.columns)
+    return without(rows, ["__file", "__row"], gone).select("__doc.*")

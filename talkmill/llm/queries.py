@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import bpe, chat, exact, jaccard, licences, lines, packing, quality, urls, warc
+from talkmill.llm import bpe, chat, exact, jaccard, licences, lines, packing, quality, sharding, urls, warc
 from talkmill.llm.common import new_folder, stored, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +219,44 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The confirmed licence families of every document."""
     docs = table(spark, sf_dir, "documents")
     return licences.families(docs, licences.train(spark, docs))
+
+
+#: A byte at a time over a table that is made from the polynomial.
+CRC_TABLE = """list_transform(range(256), lambda n: list_reduce(
+        range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, n))"""
+
+
+def crc_sql(text: str, made: str = "made") -> str:
+    """SQL for the unsigned crc32 of a text, with the table ``made``."""
+    digits = f"regexp_extract_all(hex(encode({text})), '..')"
+    one = f"lambda c, x: xor(c >> 8, {made}[(xor(c, ('0x' || x)::bigint) & 255) + 1])"
+    return f"xor(list_reduce({digits}, {one}, 4294967295), 4294967295)"
+
+
+SHARDS = sharding.even_tree(regions=4, racks=2, shards=5)
+SHARDS_AND_ONE = sharding.grown(SHARDS, "region1", "rack0", 40)
+
+
+def _descent(tree: sharding.Tree, name: str) -> str:
+    """CTEs that go down the tree level by level; the last one, named so, has doc_id and shard."""
+    nodes = ", ".join(f"('{at}', '{child}', {weight}::double)" for at, children in sharding._children(tree).items() for child, weight in children.items())
+    draw = "(('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|' || child), 1, 13))::bigint + 0.5) / 4503599627370496.0"
+    parts = [f"{name}_nodes(parent, child, weight) AS (VALUES {nodes})", f"{name}_0 AS (SELECT doc_id, '' AS node FROM documents)"]
+    for i in range(3):
+        parts.append(f"{name}_{i + 1} AS (SELECT doc_id, arg_min(child, -ln({draw}) / weight) AS node FROM {name}_{i} JOIN {name}_nodes ON parent = node GROUP BY doc_id)")
+    return ", ".join([*parts, f"{name} AS (SELECT doc_id, string_split(node, '/')[-1]::int AS shard FROM {name}_3)"])
+
+
+SHARD_SQL = f"""
+    WITH {_descent(SHARDS, 'now')}, {_descent(SHARDS_AND_ONE, 'later')}
+    SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, {crc_sql("coalesce(text, '')")} AS text_crc32, 'key' AS law, now.shard,
+           row_number() OVER (PARTITION BY now.shard ORDER BY doc_id) - 1 AS slot, later.shard AS grown_shard
+    FROM documents JOIN now USING (doc_id) JOIN later USING (doc_id), (SELECT {CRC_TABLE} AS made)"""
+
+
+@query("op13_weighted_tree_sharding", SHARD_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, and its shard when one more stands in the tree."""
+    return sharding.placed(table(spark, sf_dir, "documents"), SHARDS, after=SHARDS_AND_ONE).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    )
