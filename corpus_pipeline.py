@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.llm import exact, jaccard, packing, quality
-from talkmill.llm.common import located, stored, without
+from talkmill.llm.common import packed, stored, without
 from talkmill.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,10 +20,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass the current policy. Rows that repeat a key are judged by their own texts."""
-    rows = located(docs).withColumn("__key", F.struct("__file", "__row"))
-    judged = quality.apply_policy(stored(quality.ledger(rows, "__key"), "ledger"))
-    rejected = stored(judged.filter(~F.col("kept")).select("__key.__file", "__key.__row"), "rejected")
-    return without(rows.drop("__key"), ["__file", "__row"], rejected).select(*docs.columns)
+    rows = packed(docs)
+    keyed = rows.select(F.struct("__file", "__row").alias("place"), F.col("__doc.text").alias("text"))
+    judged = quality.apply_policy(stored(quality.ledger(keyed, "place"), "ledger"))
+    rejected = stored(judged.filter(~F.col("kept")).select("place.__file", "place.__row"), "rejected")
+    return without(rows, ["__file", "__row"], rejected).select("__doc.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
