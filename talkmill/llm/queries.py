@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import bpe, chat, exact, jaccard, licences, lines, packing, quality, sharding, urls, warc
+from talkmill.llm import bpe, chat, divergence, exact, jaccard, licences, lines, packing, quality, sharding, urls, warc
 from talkmill.llm.common import new_folder, stored, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,3 +260,33 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(table(spark, sf_dir, "documents"), SHARDS, after=SHARDS_AND_ONE).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
+
+
+DIVERGENCE_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+    c AS (SELECT lang, source, term, count(*)::hugeint AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+    l AS (SELECT lang, term, sum(n)::hugeint AS n FROM c GROUP BY ALL),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    v AS (SELECT lang, coalesce(any_value(t.n), 0)::hugeint AS v, coalesce(any_value(t.total), 0)::hugeint AS total
+          FROM g LEFT JOIN (SELECT lang, count(*) AS n, sum(n) AS total FROM l GROUP BY lang) t USING (lang) GROUP BY lang),
+    gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::hugeint AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+    p AS (SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (gn.total + v.v) AS p
+          FROM gn JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+    q AS (SELECT lang, term, 1 + 1000000000::hugeint * (n + 1) // (total + v) AS q FROM l JOIN v USING (lang)),
+    s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+    SELECT lang, source, part, item, value::bigint AS value, rank::int AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
+@query("op12_source_divergence", DIVERGENCE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source's divergence from the others of its language, and the terms it has in excess."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
