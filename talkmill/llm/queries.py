@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import bpe, chat, divergence, exact, jaccard, licences, lines, packing, quality, sharding, urls, warc
+from talkmill.llm import bpe, chat, divergence, exact, jaccard, licences, lines, packing, quality, sharding, trie, urls, warc
 from talkmill.llm.common import new_folder, stored, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -290,3 +290,47 @@ DIVERGENCE_SQL = r"""
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source's divergence from the others of its language, and the terms it has in excess."""
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+TRIE_SQL = f"""
+    WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h
+               FROM conversations WHERE conv_id IS NOT NULL),
+    l AS (SELECT conv_id, list({{'h': h, 'bytes': strlen(text)}} ORDER BY turn NULLS FIRST) AS own FROM t GROUP BY conv_id),
+    k AS (SELECT conv_id, own, {crc_sql("conv_id::varchar")} % 9 AS h FROM l, (SELECT {CRC_TABLE} AS made)),
+    r AS (SELECT k.conv_id, list_concat(coalesce(b.own[1:k.h], []), k.own[k.h + 1:]) AS turns
+          FROM k LEFT JOIN l b ON b.conv_id = k.conv_id - k.conv_id % 5),
+    s AS (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM r),
+    path AS (SELECT conv_id, d, len(turns) = d AS whole, coalesce(turns[d].bytes, 0) AS bytes,
+                    coalesce(array_to_string(list_transform(turns[1:d], lambda x: x.h), ''), '') AS node FROM s),
+    n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+                 sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (whole), '')) AS ends_sha256 FROM path GROUP BY node, d),
+    up AS (SELECT n.node, p.node AS parent, q.conv_id AS parent_conv_id
+           FROM n JOIN path p ON p.conv_id = n.conv_id AND p.d = n.d - 1 JOIN n q ON q.node = p.node AND q.d = p.d),
+    c AS (SELECT parent AS node, count(*) AS n_children FROM up GROUP BY parent),
+    v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (node)),
+    a AS (SELECT p.node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * v.bytes)::bigint AS saved_tokens
+          FROM v JOIN path p ON p.conv_id = v.conv_id AND p.d <= v.d GROUP BY p.node)
+    SELECT v.conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+    FROM v JOIN a USING (node) LEFT JOIN up USING (node)"""
+
+
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """The contract's conversations, from (conv, pos, digest, bytes): the first turns of one in five stand before the others' own."""
+    base = F.col("conv") - F.col("conv") % 5
+    taken = F.crc32(F.col("conv").cast("string").cast("binary")) % 9
+    others = turns.filter(F.col("conv") != base)
+    bases = turns.filter((F.col("conv") == base) & (F.col("pos") <= 8)).withColumnRenamed("conv", "base")
+    heads = others.filter("pos = 1").select("conv", base.alias("base"), taken.alias("h"))
+    first = heads.join(bases, "base").filter("pos <= h").select("conv", "pos", "digest", "bytes")
+    held = bases.groupBy("base").agg(F.max("pos").alias("held"))
+    tails = others.withColumns({"base": base, "h": taken}).filter("pos > h").join(held, "base", "left")
+    moved = F.least("h", F.coalesce("held", F.lit(0).cast("bigint"))) + F.col("pos") - F.col("h")
+    own = tails.select("conv", moved.alias("pos"), "digest", "bytes")
+    return turns.filter(F.col("conv") == base).unionByName(first).unionByName(own)
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all conversations, rebuilt to share beginnings."""
+    rows = stored(trie.turn_rows(table(spark, sf_dir, "conversations")), "turn-rows", "zstd")
+    return trie.prefix_trie(rows.filter("pos = 1").select("conv"), rebuilt(rows))
