@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,40 +36,24 @@ def scoring_features(projects: DataFrame) -> DataFrame:
     )
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Add the scores to rows that hold the features of two projects, prefixed a_ and b_."""
-    title = jaccard(F.col("a_tw"), F.col("b_tw"))
-    both = F.col("a_dw").isNotNull() & F.col("b_dw").isNotNull()
-    description = F.when(both, jaccard(F.col("a_dw"), F.col("b_dw")))
-    scored = pairs.withColumn("score_title", title).withColumn("score_description", description)
-    scored = scored.withColumn(
-        "score_temporal", interval_iou(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi"))
-    )
-    t, d, o = F.col("score_title"), F.col("score_description"), F.col("score_temporal")
-    two = TITLE_WEIGHT + TIME_WEIGHT
-    combined = F.when(
-        d.isNotNull(), TITLE_WEIGHT * t + DESCRIPTION_WEIGHT * d + TIME_WEIGHT * o
-    ).otherwise((TITLE_WEIGHT / two) * t + (TIME_WEIGHT / two) * o)
-    return scored.withColumn("score_combined", clamp01(combined))
-
-
 _SCORES = ["score_combined", "score_title", "score_description", "score_temporal"]
 _PAIR = ["project_a_id", "project_b_id"]
 
 
-def _side(rows: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
-    return rows.select(*keys, *[F.col(c).alias(f"{prefix}_{c}") for c in ("id", "tw", "dw", "lo", "hi")])
+#: The search goes down these scores until it has enough pairs, so that low ones are looked at only where good ones lack.
+LEVELS = (0.95, 0.85, 0.75, 0.65)
+#: Title similarities between the least and the one that needs no like description are cut into so many bands.
+BANDS = 3
+#: From this similarity on, sizes and places of a shared word are part of the key that two profiles meet on.
+PLACED_FROM = 0.5
+#: Profiles of a word that one task compares with others.
+WORD_SLICE = 1000
+#: Overlaps for which time cells are laid out; below the first, all members of two profiles are compared.
+OVERLAPS = (0.2, 0.5, 0.7, 0.85, 0.93, 0.97, 0.99, 0.999, 1.0)
+_TEXTS = ["score_title", "score_description", "text", "share"]
 
 
-def _scored(joined: DataFrame, threshold: float, ordered: Column) -> DataFrame:
-    """Score joined rows, keep those that pass, and name each pair once."""
-    kept = score_pairs(joined.filter(ordered)).filter(F.col("score_combined") >= threshold)
-    return kept.select(
-        F.least("a_id", "b_id").alias("project_a_id"), F.greatest("a_id", "b_id").alias("project_b_id"), *_SCORES
-    )
-
-
-def _first_members(rows: DataFrame, profile: list[str], keep: int | None) -> DataFrame:
+def _first_members(rows: DataFrame, alike: list[str], keep: int | None) -> DataFrame:
     """The first rows by id of each group that scores alike.
 
     Exact for the best ``keep - 1`` pairs: replacing a later member by an earlier one never makes a pair
@@ -76,51 +61,107 @@ def _first_members(rows: DataFrame, profile: list[str], keep: int | None) -> Dat
     """
     if keep is None:
         return rows
-    order = Window.partitionBy(*profile).orderBy("id")
+    order = Window.partitionBy(*alike).orderBy("id")
     return rows.withColumn("_m", F.row_number().over(order)).filter(F.col("_m") <= keep).drop("_m")
 
 
-def _prefix_words(rows: DataFrame, words: str, least: float, out: str) -> DataFrame:
-    """One row per word that must be looked at to find every partner of similarity ``least`` or more.
+def _profiles(features: DataFrame) -> DataFrame:
+    """pid, tw, dw, and t and d: the words as (number of profiles that have it, word), rare ones first. One row per distinct text."""
+    rows = cut_lineage(features.groupBy("pid").agg(F.first("tw").alias("tw"), F.first("dw").alias("dw")))
 
-    Two sets that similar share one of their ``size - ceil(least * size) + 1`` rarest words.
-    """
-    own = F.when(F.size(words) == 0, F.array(F.lit(_EMPTY_WORD))).otherwise(F.col(words))
-    listed = rows.withColumn(out, F.explode(own)).withColumn("_n", F.greatest(F.size(words), F.lit(1)))
-    if least <= 0:
-        raise ValueError("a prefix needs a positive similarity")
-    counts = listed.groupBy(out).agg(F.count("*").alias("_df"))
-    rarest = Window.partitionBy("id").orderBy("_df", out)
-    length = F.col("_n") - F.ceil(F.col("_n") * F.lit(least - _EPS)) + 1
-    ranked = listed.join(counts, out).withColumn("_r", F.row_number().over(rarest))
-    return ranked.filter(F.col("_r") <= length).drop("_n", "_df", "_r")
+    def ranked(words: str, out: str) -> DataFrame:
+        own = F.when(F.size(words) == 0, F.array(F.lit(_EMPTY_WORD))).otherwise(F.col(words))
+        listed = rows.filter(F.col(words).isNotNull()).select("pid", F.explode(own).alias("w"))
+        counts = listed.groupBy("w").agg(F.count("*").alias("n"))
+        return listed.join(counts, "w").groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias(out))
 
+    return rows.join(ranked("tw", "t"), "pid").join(ranked("dw", "d"), "pid", "left")
 
-def _home_cell(rows: DataFrame, least: float) -> DataFrame:
-    """Grid cell of a span: length class, start cell and end cell. Cell width follows the length class."""
-    cls = _length_class()
-    width = _cell_width(F.col("cls"), least)
-    return rows.withColumn("cls", cls).withColumn("c_lo", _cell("lo", width)).withColumn("c_hi", _cell("hi", width))
 
+def _prefix(size: Column, least: float) -> Column:
+    """Of two sets that similar, each has one shared word among so many of its rarest."""
+    return (size - F.ceil(size * F.lit(least - _EPS)) + 1).cast("int")
 
-def _probe_cells(rows: DataFrame, least: float) -> DataFrame:
-    """All cells in which a partner with overlap ``least`` (at least one half) can be.
 
-    Starts and ends of such spans differ by no more than (1/least - 1) times the shorter length, and one
-    length is at most twice the other. Instants only match equal instants.
+def _keyed(rows: DataFrame, words: str, least: float, out: str, asking: bool) -> DataFrame:
+    """Add the key, a struct, on which sets of that similarity meet: one row per word of the prefix, and per slice of a common word.
+
+    With sizes n, m and a first shared word at places i, j (rare words first), two sets share at most min(n - i, m - j)
+    words. From PLACED_FROM on the asking side lists the (m, j) that can still reach the similarity; so a word that is
+    common, and therefore late in the order, brings together only sets that little else tells apart.
+    """
+    size = F.size(words)
+    place = f"{out}_at"
+    rows = rows.withColumn(place, F.explode(F.sequence(F.lit(0), _prefix(size, least) - 1)))
+    word = F.get(words, F.col(place))
+    slices = F.ceil(word["n"] / WORD_SLICE)
+    own_slice = F.pmod(F.xxhash64("pid"), slices)
+    if least < PLACED_FROM:
+        at = [F.lit(0).alias("size"), F.lit(0).alias("place")]
+    elif not asking:
+        at = [size.alias("size"), F.col(place).alias("place")]
+    else:
+        sizes = F.sequence(F.ceil(size * F.lit(least - _EPS)).cast("int"), F.floor(size / F.lit(least - _EPS)).cast("int"))
+        met = F.flatten(F.transform(sizes, lambda m: F.transform(
+            F.sequence(F.lit(0), _prefix(m, least) - 1), lambda j: F.struct(m.alias("size"), j.alias("place")))))
+        can = F.filter(met, lambda x: F.least(size - F.col(place), x["size"] - x["place"]) >= (size + x["size"]) * F.lit(least / (1 + least) - _EPS))
+        rows = rows.withColumn("_x", F.explode(can))
+        at = [F.col("_x.size").alias("size"), F.col("_x.place").alias("place")]
+    if asking:
+        rows = rows.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)))
+    key = F.struct(word["w"].alias("w"), *at, (F.col("_s") if asking else own_slice).alias("slice"))
+    return rows.withColumn(out, key).drop("_x", "_s")
+
+
+def _meet(left: DataFrame, right: DataFrame, title: float, description: float) -> DataFrame:
+    """Pairs of profiles (a_, b_) whose titles, and descriptions if asked for, share what such similarities need, each pair
+    at the rarest word it shares."""
+    sides = []
+    for rows, asking, prefix in ((left, True, "a"), (right, False, "b")):
+        rows, keys = _keyed(rows, "t", title, "kt", asking), ["kt"]
+        if description > 0:
+            rows, keys = _keyed(rows, "d", description, "kd", asking), ["kt", "kd"]
+        places = [f"{k}_at" for k in keys]
+        sides.append(rows.select(*keys, *[F.col(c).alias(f"{prefix}_{c}") for c in ("pid", "tw", "dw", "t", "d", *places)]))
+    met = sides[0].join(sides[1], keys).filter("a_pid <> b_pid")
+    for words, k in zip(("t", "d"), keys):
+        # ``slice`` and ``arrays_overlap`` look at the words before the one that the pair met at.
+        before = [F.transform(F.slice(f"{p}_{words}", F.lit(1), F.col(f"{p}_{k}_at")), lambda x: x["w"]) for p in "ab"]
+        met = met.filter(~F.arrays_overlap(*before))
+    return met
+
+
+def _profile_pairs(profiles: DataFrame, least: float) -> DataFrame:
+    """a_pid, b_pid and _TEXTS: the pairs of profiles whose members can score ``least``, a profile and itself included.
+
+    text: what the words give to the score. share: the weight of the time overlap, which a missing description raises.
     """
-    own = _length_class()
-    near = F.when(own < 0, F.array(own)).otherwise(
-        F.filter(F.array(own - 1, own, own + 1), lambda c: c >= 0)
+    two = TITLE_WEIGHT + TIME_WEIGHT
+    described, bare = profiles.filter("dw IS NOT NULL"), profiles.filter("dw IS NULL")
+    # The more alike two titles are, the less their descriptions need be.
+    low = max(_EPS, 1 - (1 - least) / TITLE_WEIGHT)
+    free = min(1.0, (least - TIME_WEIGHT) / TITLE_WEIGHT)
+    steps = BANDS if low < PLACED_FROM else 1
+    edges = [low + (free - low) * i / steps for i in range(steps + 1)]
+    bands = [(lo, (least - TIME_WEIGHT - TITLE_WEIGHT * hi) / DESCRIPTION_WEIGHT - _EPS) for lo, hi in zip(edges, edges[1:])]
+    if free < 1:
+        bands.append((free, 0.0))
+    found = [_meet(described, described, title, description).filter("a_pid < b_pid") for title, description in bands]
+    title = 1 - (1 - least) * two / TITLE_WEIGHT
+    found.append(_meet(bare, bare, title, 0).filter("a_pid < b_pid"))
+    found.append(_meet(bare, described, title, 0))
+    pairs = reduce(DataFrame.unionByName, [f.select("a_pid", "b_pid", "a_tw", "a_dw", "b_tw", "b_dw") for f in found])
+    own = profiles.select(F.col("pid").alias("a_pid"), F.col("pid").alias("b_pid"), *[F.col(c).alias(f"{p}_{c}") for p in "ab" for c in ("tw", "dw")])
+    pairs = pairs.dropDuplicates(["a_pid", "b_pid"]).unionByName(own)
+    both = F.col("a_dw").isNotNull() & F.col("b_dw").isNotNull()
+    t, d = F.col("score_title"), F.col("score_description")
+    scored = pairs.select(
+        "a_pid", "b_pid", jaccard(F.col("a_tw"), F.col("b_tw")).alias("score_title"),
+        F.when(both, jaccard(F.col("a_dw"), F.col("b_dw"))).alias("score_description"),
     )
-    probed = rows.withColumn("cls", F.explode(near))
-    width = _cell_width(F.col("cls"), least)
-    for col, out in (("lo", "c_lo"), ("hi", "c_hi")):
-        cells = F.when(F.col("cls") < 0, F.array(_cell(col, width))).otherwise(
-            F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: _cell(col, width) + i)
-        )
-        probed = probed.withColumn(out, F.explode(cells))
-    return probed
+    text = F.when(d.isNotNull(), TITLE_WEIGHT * t + DESCRIPTION_WEIGHT * d).otherwise(TITLE_WEIGHT / two * t)
+    share = F.when(d.isNotNull(), F.lit(TIME_WEIGHT)).otherwise(F.lit(TIME_WEIGHT / two))
+    return scored.withColumns({"text": text, "share": share}).filter(F.col("text") + F.col("share") >= least - _EPS)
 
 
 def _length_class() -> Column:
@@ -129,64 +170,75 @@ def _length_class() -> Column:
     return F.when(length == 0, F.lit(-1)).otherwise(F.length(F.bin(length)) - 1)
 
 
-def _cell_width(cls: Column, least: float) -> Column:
-    reach = F.pow(F.lit(2.0), cls + 1) * F.lit(1 / least - 1 + _EPS)
-    return F.greatest(F.lit(1.0), F.ceil(reach).cast("double"))
+def _cells(rows: DataFrame, asking: bool) -> DataFrame:
+    """Add cls, c_lo, c_hi: the grid cell of a span, or, asking, all cells in which a span with overlap ``o`` can be.
+
+    Starts and ends of such spans differ by no more than (1/o - 1) times the shorter length, and one length is
+    at most 1/o times the other. Instants only match equal instants. Without ``o`` all spans share one cell.
+    """
+    own, o = _length_class(), F.col("o")
+    reach = F.ceil(-F.log2(o)).cast("int")
+    near = F.when(own < 0, F.array(own)).otherwise(F.filter(F.sequence(own - reach, own + reach), lambda c: c >= 0)) if asking else F.array(own)
+    rows = rows.withColumn("cls", F.explode(F.when(o.isNull(), F.array(F.lit(-2))).otherwise(near)))
+    width = F.greatest(F.lit(1.0), F.ceil(F.pow(F.lit(2.0), F.col("cls") + 1) * (1 / o - 1 + _EPS)).cast("double"))
+    for c in ("lo", "hi"):
+        cell = F.floor(F.col(c) / width).cast("bigint")
+        around = F.when(F.col("cls") < 0, F.array(cell)).otherwise(F.array(cell - 1, cell, cell + 1)) if asking else F.array(cell)
+        rows = rows.withColumn(f"c_{c}", F.explode(F.when(o.isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(around)))
+    return rows
+
+
+def _score(pairs: DataFrame) -> DataFrame:
+    """Pairs of members (a_, b_) with the texts' scores, as candidates with all scores; each pair is named in id order."""
+    time = interval_iou(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi"))
+    t, d, o, two = F.col("score_title"), F.col("score_description"), F.col("score_temporal"), TITLE_WEIGHT + TIME_WEIGHT
+    combined = F.when(d.isNotNull(), TITLE_WEIGHT * t + DESCRIPTION_WEIGHT * d + TIME_WEIGHT * o).otherwise(
+        (TITLE_WEIGHT / two) * t + (TIME_WEIGHT / two) * o
+    )
+    named = pairs.withColumn("score_temporal", time).withColumn("score_combined", clamp01(combined))
+    return named.select(F.least("a_id", "b_id").alias("project_a_id"), F.greatest("a_id", "b_id").alias("project_b_id"), *_SCORES)
 
 
-def _cell(column: str, width: Column) -> Column:
-    return F.floor(F.col(column) / width).cast("bigint")
+def _members(members: DataFrame, prefix: str) -> DataFrame:
+    return members.select(*[F.col(c).alias(f"{prefix}_{c}") for c in ("pid", "id", "lo", "hi")])
 
 
-def _pairs_at(features: DataFrame, threshold: float, keep: int | None) -> DataFrame:
-    """Every pair that scores ``threshold`` (above one half) or more and may be among the best.
+def _near_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Some pairs of members that overlap well: neighbours by start among spans of like length and end. They only set a bound."""
+    fields = ["a_pid", "b_pid", *_TEXTS]
+    one = pairs.join(members, pairs["a_pid"] == members["pid"]).select(*fields, "id", "lo", "hi", F.lit(0).alias("side"))
+    other = pairs.filter("a_pid <> b_pid").join(members, F.col("b_pid") == members["pid"]).select(*fields, "id", "lo", "hi", F.lit(1).alias("side"))
+    rows = one.unionByName(other).withColumn("cls", _length_class())
+    rows = rows.withColumn("cell", F.floor(F.col("hi") / F.pow(F.lit(2.0), F.greatest(F.col("cls") - 4, F.lit(0)))))
+    order = Window.partitionBy("a_pid", "b_pid", "cls", "cell").orderBy("lo", "hi", "id")
+    here = F.struct("id", "lo", "hi", "side")
+    ahead = rows.withColumns({f"x{n}": F.lead(here, n).over(order) for n in (1, 2)})
+    ahead = ahead.withColumn("x", F.explode(F.array("x1", "x2"))).filter("x IS NOT NULL")
+    ahead = ahead.filter((F.col("a_pid") == F.col("b_pid")) | (F.col("side") != F.col("x.side")))
+    return _score(ahead.select(*_TEXTS, *[F.col(c).alias(f"a_{c}") for c in ("id", "lo", "hi")], *[F.col(f"x.{c}").alias(f"b_{c}") for c in ("id", "lo", "hi")]))
 
-    Two cases, since a missing description changes the weights. The threshold gives the least title,
-    description and time similarity a pair can have; partners then meet on equal keys only.
+
+def _expand(members: DataFrame, pairs: DataFrame, least: float, last_id: str | None = None) -> DataFrame:
+    """All pairs of members that score ``least``. Members meet in time cells as narrow as the score asks of their profiles.
+
+    With ``last_id``, pairs that score just ``least`` and whose first id comes after it are not wanted.
     """
-    two = TITLE_WEIGHT + TIME_WEIGHT
-    # Both described.
-    title = 1 - (1 - threshold) / TITLE_WEIGHT
-    other = 1 - (1 - threshold) / DESCRIPTION_WEIGHT
-    described = _first_members(features.filter(F.col("dw").isNotNull()), ["tw", "dw", "lo", "hi"], keep)
-    ordered = F.col("a_id") < F.col("b_id")
-    if other > 0:
-        keyed, keys = _prefix_words_within(_prefix_words(described, "tw", title, "w"), "dw", other, "v"), ["w", "v"]
-        left, right = keyed, keyed
-        if other >= 0.5:
-            left, right = _probe_cells(keyed, other), _home_cell(keyed, other)
-            keys = [*keys, "cls", "c_lo", "c_hi"]
-        first = _scored(_side(left, "a", keys).join(_side(right, "b", keys), keys), threshold, ordered)
-    else:
-        # Titles are alike, or else description and time span both are: what titles lack, the other two must give.
-        alike = 2 * threshold - 0.8
-        both = 4 * (threshold - TITLE_WEIGHT * alike) - 1
-        by_title = _prefix_words(described, "tw", alike, "w")
-        first = _scored(_side(by_title, "a", ["w"]).join(_side(by_title, "b", ["w"]), ["w"]), threshold, ordered)
-        by_rest, keys = _prefix_words(described, "dw", both, "v"), ["v", "cls", "c_lo", "c_hi"]
-        left, right = _probe_cells(by_rest, both), _home_cell(by_rest, both)
-        first = first.unionByName(_scored(_side(left, "a", keys).join(_side(right, "b", keys), keys), threshold, ordered))
-
-    # At least one without a description: its side is the left one.
-    title = 1 - (1 - threshold) * two / TITLE_WEIGHT
-    time = 1 - (1 - threshold) * two / TIME_WEIGHT
-    bare = features.withColumn("bare", F.col("dw").isNull())
-    bare = _first_members(bare, ["bare", "tw", "lo", "hi"], keep)
-    keyed, keys = _prefix_words(bare, "tw", title, "w"), ["w"]
-    left, right = keyed.filter("bare"), keyed
-    if time >= 0.5:
-        left, right = _probe_cells(left, time), _home_cell(right, time)
-        keys = [*keys, "cls", "c_lo", "c_hi"]
-    joined = _side(left, "a", keys).join(_side(right, "b", keys), keys)
-    once = F.when(F.col("b_dw").isNull(), F.col("a_id") < F.col("b_id")).otherwise(F.lit(True))
-    second = _scored(joined, threshold, once)
-    return first.unionByName(second).dropDuplicates(_PAIR)
-
-
-def _prefix_words_within(keyed: DataFrame, words: str, least: float, out: str) -> DataFrame:
-    """Description keys added to rows that already have a title key."""
-    by_id = _prefix_words(keyed.select("id", words).dropDuplicates(["id"]), words, least, out).select("id", out)
-    return keyed.join(by_id, "id")
+    needed = (F.lit(least - _EPS) - F.col("text")) / F.col("share")
+    o = F.array_max(F.filter(F.array(*[F.lit(x) for x in OVERLAPS]), lambda x: x <= needed))
+    able = pairs.filter(F.col("text") + F.col("share") >= least - _EPS).withColumn("o", o)
+    if last_id is not None:
+        # Where all pairs can only score ``least``, the first id of a wanted one is small, so only such members ask.
+        able = able.withColumn("tied", F.col("text") + F.col("share") <= least + _EPS)
+    keys = ["a_pid", "b_pid", "cls", "c_lo", "c_hi"]
+    asking = able.join(_members(members, "a"), "a_pid")
+    if last_id is not None:
+        asking = asking.filter(~F.col("tied") | (F.col("a_pid") != F.col("b_pid")) | (F.col("a_id") <= last_id))
+    asking = _cells(asking.withColumns({"lo": F.col("a_lo"), "hi": F.col("a_hi")}), True)
+    asked = _cells(able.select("a_pid", "b_pid", "o").join(_members(members, "b"), "b_pid").withColumns({"lo": F.col("b_lo"), "hi": F.col("b_hi")}), False)
+    met = asking.select(*keys, *_TEXTS, "a_id", "a_lo", "a_hi").join(asked.select(*keys, "b_id", "b_lo", "b_hi"), keys)
+    met = met.filter((F.col("a_pid") != F.col("b_pid")) | (F.col("a_id") < F.col("b_id")))
+    found = _score(met).filter(F.col("score_combined") >= least)
+    return found if last_id is None else found.filter((F.col("score_combined") > least) | (F.col("project_a_id") <= last_id))
 
 
 def merge_candidates(
@@ -198,17 +250,40 @@ def merge_candidates(
     """The best ``max_pairs`` unordered pairs that score ``min_combined`` or more; all of them with None.
 
     The result is the same as scoring all pairs. The least score must be above one half, so that every pair
-    shares a word or a span to meet on.
+    shares a title word to meet on.
+
+    Words are compared once per distinct text (a profile), not per project. For the best pairs the search goes down LEVELS; at
+    each, the best of some real pairs gives a bound, and only members that can reach it are compared. It ends at
+    the first level with enough pairs.
     """
     if min_combined <= 0.5:
         raise ValueError("min_combined must be above 0.5")
     if max_projects is not None:
         projects = projects.orderBy(F.desc("last_seen_at"), "id").limit(max_projects)
-    features = cut_lineage(scoring_features(projects))
-    keep = None if max_pairs is None else max_pairs + 1
+    words = lambda c: F.array_join(c, " ")
+    profile = F.md5(F.concat(words("tw"), F.when(F.col("dw").isNull(), "").otherwise(F.concat(F.lit("|"), words("dw")))))
+    features = cut_lineage(scoring_features(projects).withColumn("pid", profile))
+    profiles = cut_lineage(_profiles(features))
+    members = features.select("pid", "id", "lo", "hi")
     order = [F.desc("score_combined"), *_PAIR]
-    found = _pairs_at(features, min_combined, keep).orderBy(*order)
-    return found if max_pairs is None else found.limit(max_pairs)
+    if max_pairs is None:
+        return _expand(members, cut_lineage(_profile_pairs(profiles, min_combined)), min_combined).orderBy(*order)
+    members = cut_lineage(_first_members(members, ["pid", "lo", "hi"], max_pairs + 1))
+    for level in [*[x for x in LEVELS if x > min_combined], min_combined]:
+        pairs = cut_lineage(_profile_pairs(profiles, level))
+        near = _near_pairs(members, pairs).filter(F.col("score_combined") >= level).orderBy(*order).limit(max_pairs)
+        last = near.agg(F.count("*").alias("n"), F.max(F.struct((-F.col("score_combined")).alias("s"), "project_a_id")).alias("last")).first()
+        if last["n"] == max_pairs:
+            found = _expand(members, pairs, -last["last"]["s"], last["last"]["project_a_id"])
+        else:
+            found = _expand(members, pairs, level)
+        found = found.orderBy(*order).limit(max_pairs)
+        if level == min_combined or last["n"] == max_pairs:
+            return found
+        found = cut_lineage(found)
+        if found.count() == max_pairs:
+            return found.orderBy(*order)
+    raise AssertionError("the last level returns")
 
 
 def recompute_candidates(
