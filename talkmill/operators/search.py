@@ -25,12 +25,14 @@ SNIPPET_CHARS = 320
 class TextIndex:
     """``occurrences``: term, chunk_id, pos. ``docs``: chunk_id, session_id, message_id, dl.
 
-    A stored index is split by term bucket; ``buckets`` is their number.
+    A stored index is split by term bucket; ``buckets`` is their number. ``corpus`` (n, avgdl) is one row, for an index
+    that keeps its totals.
     """
 
     occurrences: DataFrame
     docs: DataFrame
     buckets: int | None = None
+    corpus: DataFrame | None = None
 
 
 def build_text_index(chunks: DataFrame) -> TextIndex:
@@ -41,7 +43,7 @@ def build_text_index(chunks: DataFrame) -> TextIndex:
     return TextIndex(occurrences.select("term", "chunk_id", "pos"), docs)
 
 
-def _bucket(buckets: int) -> Column:
+def bucket_of(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
@@ -52,7 +54,7 @@ def write_text_index(index: TextIndex, path: str, buckets: int = 256) -> None:
     """
     spread = F.pmod(F.xxhash64("chunk_id"), F.lit(8))
     (
-        index.occurrences.withColumn("bucket", _bucket(buckets))
+        index.occurrences.withColumn("bucket", bucket_of(buckets))
         .repartition("bucket", spread)
         .sortWithinPartitions("bucket", "term", "chunk_id", "pos")
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/occurrences")
@@ -99,7 +101,7 @@ def _phrase_hits(index: TextIndex, wanted: DataFrame) -> DataFrame:
     parts = wanted.select("phrase", "n_terms", "term_no", "term").distinct()
     if index.buckets:
         # At most ``buckets`` small numbers reach the driver; they become a static partition filter.
-        needed = [r[0] for r in parts.select(_bucket(index.buckets)).distinct().collect()]
+        needed = [r[0] for r in parts.select(bucket_of(index.buckets)).distinct().collect()]
         occurrences = occurrences.filter(F.col("bucket").isin(needed)).drop("bucket")
     single = F.col("n_terms") == 1
     start = F.when(~single, F.col("pos") - F.col("term_no")).alias("start")
@@ -127,7 +129,8 @@ def match_chunks(index: TextIndex, queries: DataFrame, k1: float = BM25_K1, b: f
     wanted = query_phrases(queries)
     hits = _phrase_hits(index, wanted)
     n_hits = hits.groupBy("phrase").agg(F.count("*").alias("n_hits"))
-    corpus = index.docs.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))).scalar()
+    totals = index.docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")) if index.corpus is None else index.corpus
+    corpus = totals.select(F.struct("n", "avgdl")).scalar()
     idf = F.log((F.col("c.n") - F.col("n_hits") + 0.5) / (F.col("n_hits") + 0.5))
     idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
     weights = n_hits.withColumn("c", corpus).select("phrase", idf.alias("idf"), F.col("c.avgdl").alias("avgdl"))

@@ -9,10 +9,10 @@ from talkmill.functions.text import fingerprint
 from talkmill.operators import chunks as ch
 from talkmill.operators import embeddings as em
 from talkmill.operators import search as se
+from talkmill.operators import segments as sg
 from talkmill.plans.oracle_views import sql_round, sql_terms, sql_words, with_views
 from talkmill.plans.registry import query
-from talkmill.plans.testbed import Testbed
-from talkmill.session import cut_lineage
+from talkmill.plans.testbed import Testbed, library
 
 # Search strings: common words, words that must stand together, a repeated word, punctuation alone, a blank one.
 SEARCHES = [
@@ -54,9 +54,13 @@ def searches(t: Testbed) -> DataFrame:
 
 
 def text_index(t: Testbed) -> se.TextIndex:
-    """The index of all chunks. Its document table, read several times by a search, is stored first."""
-    index = se.build_text_index(t.chunks)
-    return se.TextIndex(index.occurrences, cut_lineage(index.docs))
+    """The stored index of all chunks: a segment of the messages and one of the documents, written by the first search of a session."""
+    store = library(t)
+    for run, chunks in (("0", t.chunks.filter("artifact_id IS NULL")), ("1", t.chunks.filter("artifact_id IS NOT NULL"))):
+        if not store.committed(run):
+            with store.begin(run) as staged:
+                sg.add_segment(staged, chunks)
+    return sg.read_index(store.at())
 
 
 def hits_sql(limit: int, where: str = "true") -> str:
@@ -196,6 +200,20 @@ def cosine_topk(t: Testbed) -> DataFrame:
     return em.cosine_topk(rows, asked, 25)
 
 
+@query(
+    "nearest_vectors",
+    f"""SELECT query_id, id, {sql_round('c')} AS cosine, position FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS position
+          FROM (SELECT q.vec_id::varchar AS query_id, v.vec_id::varchar AS id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) AS c
+                FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0))
+        WHERE position <= 10""",
+)
+def nearest_vectors(t: Testbed) -> DataFrame:
+    """The nearest vectors to every vector whose id can be divided by 20."""
+    rows = t.table("embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    return em.nearest(rows.filter(F.col("id").cast("bigint") % 20 == 0), rows, 10)
+
+
 def hash_embedding_sql(chunks: str) -> str:
     """The hash projection in SQL: one row per (chunk, slot) that any word reaches."""
     return f"""

@@ -51,7 +51,7 @@ def present(df: DataFrame) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from talkmill.plans import queries_analytics, queries_entities, queries_ingest, queries_search  # noqa: F401
+    from talkmill.plans import queries_analytics, queries_entities, queries_ingest, queries_search, queries_store  # noqa: F401
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 from talkmill.operators.chunks import build_chunks
 from talkmill.schema import conform
+from talkmill.session import shared_folder
+from talkmill.sources.store import TableStore
 
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_REVISIT = "2024-02-15 00:00:00"
@@ -22,6 +26,23 @@ def _s(col: str | Column) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("string")
 
 
+def new_store(spark: SparkSession, name: str) -> TableStore:
+    """An empty store in the shared folder."""
+    return TableStore(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+def library(t: Testbed) -> TableStore:
+    """The store that queries of one session over the same files share."""
+    files = t.table("conversations").inputFiles() + t.table("documents").inputFiles()
+    path = t.spark._jvm.org.apache.hadoop.fs.Path
+    known = []
+    for file in sorted(files):
+        status = path(file).getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(path(file))
+        known.append((file, status.getLen(), status.getModificationTime()))
+    name = hashlib.sha256(repr(known).encode()).hexdigest()[:16]
+    return TableStore(t.spark, f"{shared_folder(t.spark)}/library-{t.spark.sparkContext.applicationId}-{name}")
+
+
 class Testbed:
     """Views over one scale-factor folder. Each view is built once and stays lazy."""
 

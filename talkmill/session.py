@@ -42,6 +42,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it in spark.checkpoint.dir."""
+    ensure_checkpoint_dir(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Store the rows reliably, so that a later stage never recomputes them in another order."""
     ensure_checkpoint_dir(df.sparkSession)

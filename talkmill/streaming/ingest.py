@@ -12,6 +12,7 @@ from talkmill.functions.embedding import EmbeddingProvider
 from talkmill.operators.chunks import build_chunks
 from talkmill.operators.embeddings import with_embeddings
 from talkmill.operators.extraction import ExtractionProvider, extract_projects
+from talkmill.operators.segments import add_segment
 from talkmill.sources.files import BOM, Adapter
 from talkmill.sources.imports import import_files
 from talkmill.sources.store import TableStore
@@ -28,24 +29,27 @@ def ingest_batch(
 ) -> None:
     """Import one batch of files (file_name, content) as run ``run`` of the store.
 
-    Everything a run writes replaces an earlier try of the same run, and only earlier runs are looked at, so
-    a batch that Spark delivers again leaves the same rows.
+    Tables and index segment of a run become visible together, and only earlier runs are looked at. A batch that Spark delivers
+    again finds its run committed and does nothing; one whose first try broke off is staged anew.
     """
-    old_sources = store.read("sources", before=run)
-    got = import_files(files, old_sources, store.read("import_batches", before=run), as_of, adapters)
-    new_sources = got.sources.join(old_sources.select("id"), "id", "left_anti")
-    store.write("sources", new_sources, str(run))
-    for name, df in (
-        ("sessions", got.sessions), ("messages", got.messages), ("artifacts", got.artifacts),
-        ("parse_warnings", got.warnings), ("import_batches", got.batches),
-    ):
-        store.write(name, df, str(run))
-    sessions, messages, artifacts = (store.read(n, run=str(run)) for n in ("sessions", "messages", "artifacts"))
-    store.write("chunks", with_embeddings(build_chunks(messages, artifacts), embedding), str(run))
-    if extraction is not None:
-        found = extraction(sessions, messages, artifacts, as_of)
-        store.write("projects", found.projects, str(run))
-        store.write("evidence_links", found.evidence, str(run))
+    if store.committed(str(run)):
+        return
+    with store.begin(str(run)) as staged:
+        old_sources = store.read("sources", before=run)
+        got = import_files(files, old_sources, store.read("import_batches", before=run), as_of, adapters)
+        staged.write("sources", got.sources.join(old_sources.select("id"), "id", "left_anti"))
+        for name, df in (
+            ("sessions", got.sessions), ("messages", got.messages), ("artifacts", got.artifacts),
+            ("parse_warnings", got.warnings), ("import_batches", got.batches),
+        ):
+            staged.write(name, df)
+        sessions, messages, artifacts = (staged.read(n) for n in ("sessions", "messages", "artifacts"))
+        staged.write("chunks", with_embeddings(build_chunks(messages, artifacts), embedding))
+        add_segment(staged, staged.read("chunks"))
+        if extraction is not None:
+            found = extraction(sessions, messages, artifacts, as_of)
+            staged.write("projects", found.projects)
+            staged.write("evidence_links", found.evidence)
 
 
 def ingest_stream(
