@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,6 +87,42 @@ def hash_provider(max_words: int | None = None) -> EmbeddingProvider:
     return EmbeddingProvider("hash-projection-local-64", HASH_DIM, lambda text: hash_embedding(text, max_words))
 
 
+#: Texts that a model is given at once.
+MODEL_BATCH = 256
+
+
+def batched_provider(
+    id: str, dimension: int, load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = MODEL_BATCH,
+) -> EmbeddingProvider:
+    """A provider around a model that is costly to set up.
+
+    ``load`` gives a function from texts to a matrix with a row per text. It is called once in each Python worker, which Spark
+    keeps from task to task; a worker that is lost loads it again. Texts go to the model ``batch`` at a time, nulls not at
+    all, and a matrix of another shape than (texts, dimension) stops the job.
+    """
+
+    def embed(text: Column) -> Column:
+        @F.pandas_udf(ArrayType(DoubleType()))
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            loaded = vars(sys).setdefault("_talkmill_models", {})  # of the process, since functions arrive anew with each task
+            if id not in loaded:
+                loaded[id] = load()
+            for texts in parts:
+                there, rows = texts.dropna().tolist(), []
+                for lo in range(0, len(there), batch):
+                    some = there[lo:lo + batch]
+                    made = np.asarray(loaded[id](some), dtype=float)
+                    if made.shape != (len(some), dimension):
+                        raise ValueError(f"{id} gave {made.shape} for {len(some)} texts of dimension {dimension}")
+                    rows.extend(made)
+                vectors = iter(rows)
+                yield pd.Series([None if missing else next(vectors) for missing in texts.isna()], dtype="object")
+
+        return run(text)
+
+    return EmbeddingProvider(id, dimension, embed)
+
+
 def parse_vector(raw: Column) -> Column:
     """JSON text to array<double>; null for bad JSON, a non-array or a value that is no number."""
     parsed = F.try_parse_json(raw)

@@ -23,10 +23,11 @@ def _turns(t: Testbed) -> DataFrame:
     return t.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
 
-def tree_files(t: Testbed) -> DataFrame:
+def tree_files(t: Testbed, branching: bool = False) -> DataFrame:
     """A tree export per conversation: a root without a message, then each turn below the one before it.
 
-    Every fifth conversation has a foreign role and must be rejected; every seventh has no title.
+    Every fifth conversation has a foreign role and must be rejected; every seventh has no title. Branching, turn i has the
+    turns 2i + 2 and 2i + 1 below it, listed in that order.
     """
     node_id = F.concat(F.lit("n"), F.col("turn").cast("string"))
 
@@ -37,14 +38,15 @@ def tree_files(t: Testbed) -> DataFrame:
             (F.lit(1704067200) + F.col("conv_id") * 60 + i).alias("create_time"),
             F.struct(F.lit("text").alias("content_type"), F.array(x.getField("text")).alias("parts")).alias("content"),
         )
-        last = i == F.size("turns") - 1
-        child = F.array(F.concat(F.lit("n"), (i + 1).cast("string")))
+        name = lambda k: F.concat(F.lit("n"), k.cast("string"))
+        below = F.array(i * 2 + 2, i * 2 + 1) if branching else F.array(i + 1)
+        children = F.transform(F.filter(below, lambda k: k < F.size("turns")), name)
+        above = F.floor((i - 1) / 2) if branching else i - 1
         return F.struct(
             F.concat(F.lit("n"), i.cast("string")).alias("key"),
             F.struct(
                 F.concat(F.lit("n"), i.cast("string")).alias("id"), message.alias("message"),
-                F.when(i == 0, F.lit("root")).otherwise(F.concat(F.lit("n"), (i - 1).cast("string"))).alias("parent"),
-                F.when(last, F.array().cast("array<string>")).otherwise(child).alias("children"),
+                F.when(i == 0, F.lit("root")).otherwise(name(above)).alias("parent"), children.alias("children"),
             ).alias("node"),
         )
 
@@ -125,6 +127,22 @@ def tree_export_messages(t: Testbed) -> DataFrame:
     return _message_rows(_imported(t, tree_files(t)))
 
 
+@query(
+    "branching_export_messages",
+    f"""WITH RECURSIVE t AS (
+          SELECT conv_id, role, text, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE conv_id % 5 <> 4),
+        p AS (SELECT conv_id, i, '' AS path FROM t WHERE i = 0
+              UNION ALL SELECT t.conv_id, t.i, path || CASE WHEN t.i % 2 = 0 THEN '0' ELSE '1' END
+              FROM p JOIN t ON t.conv_id = p.conv_id AND (t.i - 1) // 2 = p.i AND t.i > 0)
+        SELECT conv_id::varchar AS conv, role, row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS sort_order,
+               md5({sql_strip(CODED)}) AS text_md5
+        FROM p JOIN t USING (conv_id, i)""",
+)
+def branching_export_messages(t: Testbed) -> DataFrame:
+    """Reading order of trees with side branches."""
+    return _message_rows(_imported(t, tree_files(t, branching=True))).select("conv", "role", "sort_order", "text_md5")
+
+
 @query(
     "tree_export_artifacts",
     f"""SELECT conv_id::varchar AS conv, 'Code (python)' AS title, 'text/x-python' AS mime_type, md5({sql_strip('text')}) AS text_md5

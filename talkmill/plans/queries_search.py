@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.functions.embedding import HASH_DIM, batched_provider, project_texts
 from talkmill.functions.text import fingerprint
 from talkmill.operators import chunks as ch
 from talkmill.operators import embeddings as em
@@ -241,6 +242,18 @@ def hash_embedding(t: Testbed) -> DataFrame:
     return rows.filter(F.floor(F.col("value") * 1e6 + 0.5) != 0)
 
 
+@query(
+    "batched_embedding",
+    with_views(f"SELECT id, slot::bigint AS slot, {sql_round('value')} AS value FROM ({{}}) WHERE {sql_round('value')} <> 0".format(
+        hash_embedding_sql("v_chunks"))),
+)
+def batched_embedding(t: Testbed) -> DataFrame:
+    """The same vectors through a provider that hands a model its texts in batches."""
+    provider = batched_provider("hash-in-batches", HASH_DIM, lambda: project_texts)
+    rows = em.with_embeddings(t.chunks, provider).select("id", F.posexplode("embedding").alias("slot", "value"))
+    return rows.filter(F.floor(F.col("value") * 1e6 + 0.5) != 0)
+
+
 @query(
     "embedding_backfill",
     with_views(

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import table
+from helpers import table, values
 from talkmill.functions.embedding import EmbeddingProvider, parse_vector, project_texts
 from talkmill.operators.embeddings import backfill_embeddings, cosine_topk, with_embeddings
 
@@ -65,3 +65,34 @@ def test_cosine_topk(spark):
     got = cosine_topk(rows, F.array(F.lit(1.0), F.lit(0.0)), 3).collect()
     assert [r["id"] for r in got] == ["a", "b", "c"]
     assert got[1]["cosine"] == pytest.approx(math.sqrt(0.5)) and got[2]["cosine"] == 0.0
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    import os
+    import uuid
+
+    import numpy as np
+
+    from talkmill.functions.embedding import batched_provider
+
+    log = str(tmp_path)
+
+    def load():
+        open(f"{log}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def encode(texts):
+            assert 0 < len(texts) <= 3
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return encode
+
+    provider = batched_provider(f"test-{uuid.uuid4().hex}", 2, load, batch=3)
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else "x" * i) for i in range(40)], "id int, text string").repartition(8)
+    for _ in range(2):
+        got = dict(values(rows.select("id", provider.embed(F.col("text")).alias("v")), "id", "v"))
+        assert got == {i: None if i % 5 == 0 else [float(i), 1.0] for i in range(40)}
+    workers = [n.split("-")[0] for n in os.listdir(log)]
+    assert workers and len(workers) == len(set(workers))
+    wrong = batched_provider(f"test-{uuid.uuid4().hex}", 3, load, batch=3)
+    with pytest.raises(Exception, match="dimension 3"):
+        rows.select(wrong.embed(F.col("text"))).collect()
