@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,15 +21,58 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that the running calls of ``settled`` made, innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(folder)
+    return folder
 
 
 def stored(df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
     """Write the rows to the shared folder and read them back, which cuts lineage and survives lost executors."""
     folder = new_folder(df.sparkSession, name)
     df.write.option("compression", codec).parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    back = df.sparkSession.read.schema(df.schema).parquet(folder)
+    back.stored_in = folder
+    return back
+
+
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    # Spark deletes the files of a shuffle once the driver has collected the last object that could read it again.
+    spark._jvm.System.gc()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again."""
+    folders = [t.stored_in for t in tables]
+    for scope in _SCOPES:
+        scope[:] = [f for f in scope if f not in folders]
+    _delete(tables[0].sparkSession, folders)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str, codec: str = "zstd") -> DataFrame:
+    """Store what ``make`` returns, and delete all that was stored on the way to it.
+
+    From then on only the result can be read, and it is whole: no lost executor can call for what is gone. If ``make`` fails, all
+    stays as it is.
+    """
+    _SCOPES.append([])
+    try:
+        made = make()
+        inner = _SCOPES.pop()
+    except BaseException:
+        _SCOPES.pop()
+        raise
+    result = stored(made, name, codec)
+    _delete(spark, inner)
+    return result
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -22,15 +22,16 @@ sequence. Rows that repeat a key are documents of their own. Only the key and th
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkmill.llm.common import keep_possible, located, packed, stored, without
+from talkmill.llm.common import forget, keep_possible, located, packed, settled, stored, without
 
 WORDS, SIMILARITY = 5, 75
 #: Counters of the frequency table: 2^24, one byte each after scaling.
@@ -39,6 +40,8 @@ TABLE_BITS, SLICES = 24, 512
 ROW_COST = 30
 #: Largest size that is considered as boundary; beyond it, pairs of first tokens always cost more.
 LARGEST_BOUNDARY = 512
+#: Partners that a document's text is moved to at once.
+PARTNERS = 64
 NODE = ["file", "row"]
 
 
@@ -157,12 +160,13 @@ def first_pass(docs: DataFrame, words: int) -> DataFrame:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """A byte per counter, then places and counts of those that need more."""
+    """A byte per counter, then places and counts of those that need more, all compressed: a task's counters are mostly small or none."""
     large = np.flatnonzero(counts >= 255)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype("<u4").tobytes() + counts[large].astype("<u4").tobytes()
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype("<u4").tobytes() + counts[large].astype("<u4").tobytes(), 1)
 
 
-def unpack_counts(raw: bytes, width: int) -> np.ndarray:
+def unpack_counts(packed: bytes, width: int) -> np.ndarray:
+    raw = zlib.decompress(packed)
     counts = np.frombuffer(raw, dtype=np.uint8, count=width).astype(np.uint64)
     places, large = np.frombuffer(raw, dtype="<u4", offset=width).reshape(2, -1)
     counts[places] = large
@@ -205,6 +209,8 @@ def choose_boundary(sizes: dict[int, int], others: float, similarity: int = SIMI
     small, large = {}, {}
     for n, count in sizes.items():
         spare = n - needed(n, similarity)
+        if spare == 0 and n < 3:  # these link with their equals only, and stand in no list
+            continue
         small[n] = count * (spare + 2) * (spare + 1) / 2 * ROW_COST
         large[n] = count * (spare + 1) * (ROW_COST + others)
     best, least = 0, None
@@ -216,7 +222,7 @@ def choose_boundary(sizes: dict[int, int], others: float, similarity: int = SIMI
 
 
 def postings(docs: DataFrame, levels: np.ndarray, boundary: int, words: int, similarity: int) -> DataFrame:
-    """list, file, row, n, place: the lists each document stands in."""
+    """list, id, fit (size * 2^32 + place): the lists each document (id, text) stands in."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,51 +230,54 @@ def postings(docs: DataFrame, levels: np.ndarray, boundary: int, words: int, sim
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                keys, places, sizes = [], [], []
+                keys, fits = [], []
                 for text in part.column("text").to_pylist():
                     s = shingler(text)
                     k, p = list_keys(s, sent.value, boundary, similarity) if len(s) else (s, np.zeros(0, dtype=np.int32))
                     keys.append(k)
-                    places.append(p)
-                    sizes.append(len(s))
-                counts = [len(k) for k in keys]
-                row = pa.array(np.repeat(np.arange(part.num_rows), counts))
+                    fits.append((np.int64(len(s)) << 32) + p)
+                row = pa.array(np.repeat(np.arange(part.num_rows), [len(k) for k in keys]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), part.column("file").take(row), part.column("row").take(row),
-                     pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts)), pa.array(np.concatenate(places).astype(np.int32))],
-                    ["list", *NODE, "n", "place"],
+                    [pa.array(np.concatenate(keys).view(np.int64)), part.column("id").take(row), pa.array(np.concatenate(fits))], ["list", "id", "fit"]
                 )
 
-    zero = F.lit(0)
-    schema = docs.select(zero.cast("bigint").alias("list"), *NODE, zero.alias("n"), zero.alias("place")).schema
-    return docs.select(*NODE, "text").mapInArrow(run, schema)
+    return docs.select("id", "text").mapInArrow(run, "list bigint, id bigint, fit bigint")
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """id, tokens of documents (id, text)."""
+def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: int) -> DataFrame:
+    """The pairs (a, b) whose sets link, either way round. Only the texts of their documents are moved: of a pair, that of the
+    document with more partners once for every PARTNERS of them, the other's once a pair. They are made into sets again where
+    they meet, one at a time."""
+    partners = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("c"))
+    partners = stored(partners, "partners")
+    known = pairs.join(partners.select(F.col("id").alias("a"), F.col("c").alias("ac")), "a").join(partners.select(F.col("id").alias("b"), F.col("c").alias("bc")), "b")
+    turned = F.col("ac") < F.col("bc")
+    first, other = F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b"))
+    cut = known.select(first.alias("a"), other.alias("b"), F.pmod(F.xxhash64(other), F.ceil(F.greatest("ac", "bc") / PARTNERS)).alias("slice"))
+    cut = stored(cut, "cut-pairs")
+    firsts = cut.select("a", "slice").distinct().select("a", "slice", F.lit(None).cast("bigint").alias("b"), F.col("a").alias("id"))
+    asked = stored(firsts.unionByName(cut.withColumn("id", F.col("b"))), "asked")
+    texts = keep_possible(rows.select("id", "text"), F.col("id"), asked, F.col("id")).join(asked, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler, at, first = Shingler(words), None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
-                sets = pa.array([shingler(t).view(np.int64) for t in part.column("text").to_pylist()], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), sets], ["id", "tokens"])
-
-    schema = docs.select("id", F.array(F.lit(0).cast("bigint")).alias("tokens")).schema
-    return docs.select("id", "text").mapInArrow(run, schema)
-
-
-def verified(pairs: DataFrame, rows: DataFrame, ids: DataFrame, words: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. Only the texts of their documents are moved, and made into sets again."""
-    asked = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(ids, "id"), "asked")
-    texts = keep_possible(rows.select(*NODE, "text"), F.struct(*NODE), asked, F.struct(*NODE)).join(asked, NODE)
-    sets = stored(shingle_sets(texts, words), "shingle-sets", "zstd")
-    side = lambda c: keep_possible(sets, F.col("id"), pairs, F.col(c)).select(F.col("id").alias(c), F.col("tokens").alias(f"{c}_tokens"))
-    one, two = side("a"), side("b")
-    both = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    either = F.size("a_tokens") + F.size("b_tokens") - both
-    return pairs.join(one, "a").join(two, "b").filter(100 * both >= similarity * either).select("a", "b")
+            for part in (batch.slice(lo, 500) for lo in range(0, batch.num_rows, 500)):
+                linked = []
+                for a, cut_at, b, text in zip(*[part.column(c).to_pylist() for c in ("a", "slice", "b", "text")]):
+                    own = shingler(text)
+                    if b is None:
+                        at, first = (a, cut_at), own
+                        continue
+                    assert at == (a, cut_at), "a partner without its first"
+                    both = len(np.intersect1d(first, own, assume_unique=True))
+                    if 100 * both >= similarity * (len(first) + len(own) - both):
+                        linked.append((a, b))
+                if linked:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*linked)], ["a", "b"])
+
+    together = texts.select("a", "slice", "b", "text").repartition("a", "slice")
+    return together.sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first()).mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -294,7 +303,7 @@ def components(edges: DataFrame) -> DataFrame:
         F.col("b").alias("id"), F.col("b").alias("component")))
 
 
-def link_nodes(lists: DataFrame, rows: DataFrame, ids: DataFrame, words: int, similarity: int) -> DataFrame:
+def link_nodes(lists: DataFrame, rows: DataFrame, words: int, similarity: int) -> DataFrame:
     """id, component of the nodes in lists (list, id, n, place) that link with another."""
     fits = lambda a, b: (  # noqa: E731  the most that both can share reaches the similarity
         (100 + similarity) * F.least(F.col(f"{a}n") - F.col(f"{a}place"), F.col(f"{b}n") - F.col(f"{b}place"))
@@ -305,7 +314,7 @@ def link_nodes(lists: DataFrame, rows: DataFrame, ids: DataFrame, words: int, si
     heads = lists.groupBy("list").agg(F.min(F.struct("place", "n", "id")).alias("h")).select("list", "h.*")
     first = named(lists, "x_").join(named(heads, "y_"), "list").filter((F.col("x_id") != F.col("y_id")) & fits("x_", "y_"))
     tested = stored(first.select(*pair).distinct(), "first-pairs")
-    edges = stored(verified(tested, rows, ids, words, similarity), "first-links")
+    edges = stored(verified(tested, rows, words, similarity), "first-links")
     found = stored(components(edges), "first-components")
     placed = stored(lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     open_lists = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("list")
@@ -314,7 +323,7 @@ def link_nodes(lists: DataFrame, rows: DataFrame, ids: DataFrame, words: int, si
         (F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & fits("x_", "y_")
     )
     untested = stored(cross.select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "more-pairs")
-    more = stored(verified(untested, rows, ids, words, similarity), "more-links")
+    more = stored(verified(untested, rows, words, similarity), "more-links")
     return components(edges.unionByName(more))
 
 
@@ -326,25 +335,35 @@ def near_duplicates(
         F.col(key).alias("key"), F.col("__file").alias("file"), F.col("__row").alias("row"), F.col(text).cast("string").alias("text")
     )
     passed = stored(first_pass(rows, words), "first-pass", "zstd")
-    prints = passed.filter("fp IS NOT NULL").drop("slice", "counts")
-    whole = prints.filter("n > 0")
+    prints = stored(passed.filter("fp IS NOT NULL").drop("slice", "counts"), "prints", "zstd")
+    levels, others = frequency_levels(passed.filter("slice IS NOT NULL"))
+    forget(passed)
+    # A document's id is its file's number and its row. There are as many numbers as files, which the driver lists anyway.
+    files = stored(prints.select("file").distinct().withColumn("no", F.row_number().over(Window.orderBy("file")).cast("bigint")), "files")
+    numbered = lambda df: df.join(F.broadcast(files), "file").withColumn("id", F.shiftleft("no", 40) + F.col("row")).drop("no")
+    whole = numbered(prints.filter("n > 0"))
     same = stored(
-        whole.groupBy("fp").agg(F.min(F.struct(*NODE)).alias("node"), F.min("key").alias("least"), F.count("*").alias("size"), F.first("n").alias("n")),
+        whole.groupBy("fp").agg(F.min("id").alias("id"), F.min("key").alias("least"), F.count("*").alias("size"), F.first("n").alias("n")),
         "sets", "zstd",
     )
-    copies = whole.join(same.filter("size > 1").select("fp", "node"), "fp").filter(F.struct(*NODE) != F.col("node")).select(*NODE)
-    single = without(rows, NODE, stored(copies, "copies"))
-    levels, others = frequency_levels(passed.filter("slice IS NOT NULL"))
+    copies = whole.join(same.filter("size > 1").select("fp", F.col("id").alias("first")), "fp").filter(F.col("id") != F.col("first")).select("id")
+    placed = numbered(rows)
+    single = without(placed, ["id"], stored(copies, "copies"))
     sizes = {r["n"]: r["c"] for r in same.filter(F.col("n") < LARGEST_BOUNDARY).groupBy("n").agg(F.count("*").alias("c")).collect()}
     boundary = choose_boundary(sizes, others, similarity)
+    # Only lists of two or more matter. A list is counted in every task before it is counted as a whole.
     every = stored(postings(single, levels, boundary, words, similarity), "postings", "zstd")
     shared = stored(every.groupBy("list").agg(F.count("*").alias("c")).filter("c > 1").select("list"), "shared-lists")
-    lists = stored(keep_possible(every, F.col("list"), shared, F.col("list")).join(shared, "list", "left_semi"), "lists")
-    ids = stored(lists.select(*NODE).distinct().withColumn("id", F.monotonically_increasing_id()), "node-ids")
-    numbered = stored(lists.join(ids, NODE).select("list", "id", "n", "place"), "numbered-lists")
-    linked = stored(link_nodes(numbered, rows, ids, words, similarity), "components")
+    fit = F.col("fit")
+    lists = every.join(shared, "list", "left_semi").select(
+        "list", "id", F.shiftright(fit, 32).cast("int").alias("n"), fit.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place")
+    )
+    lists = stored(lists, "lists")
+    forget(every, shared)
+    linked = settled(docs.sparkSession, lambda: link_nodes(lists, placed, words, similarity), "components")
+    forget(lists)
     # Every set's smallest key, then every component's, which then goes to the documents of all its sets.
-    member = linked.join(ids, "id").select("component", F.struct(*NODE).alias("node")).join(same, "node")
+    member = linked.join(same, "id")
     tops = member.groupBy("component").agg(F.min("least").alias("top"))
     by_set = member.join(tops, "component").select("fp", "top")
     alone = same.filter("size > 1").join(by_set.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("top"))
@@ -358,9 +377,11 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay when one of each component does: the one with the smallest key, of equal keys the first stored."""
     rows = packed(docs)
-    found = stored(near_duplicates(rows.select(F.col("__doc")[key].alias("key"), F.col("__doc")[text].alias("text")), "key", "text"), "near-duplicates")
+    judged = rows.select(F.col("__doc")[key].alias("key"), F.col("__doc")[text].alias("text"))
+    found = settled(docs.sparkSession, lambda: near_duplicates(judged, "key", "text"), "near-duplicates")
     first = found.groupBy("component_id").agg(F.min(F.struct("key", *NODE)).alias("first"), F.count("*").alias("c"), F.max("n_shingles").alias("m"))
     stay = first.filter("c > 1 AND m > 0").select("component_id", "first")
     gone = found.filter("n_shingles > 0").join(stay, "component_id").filter(F.struct("key", *NODE) != F.col("first"))
     gone = stored(gone.select(F.col("file").alias("__file"), F.col("row").alias("__row")), "gone")
+    forget(found)
     return without(rows, ["__file", "__row"], gone).select("__doc.*")
