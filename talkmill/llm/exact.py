@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import keep_possible, located, new_folder, packed, stored, text_or_empty, without
+from talkmill.llm.common import keep_possible, located, new_folder, packed, settled, stored, text_or_empty, without
 
 #: Arrivals that a micro-batch takes at most; one takes about 60 bytes.
 BYTES_PER_TRIGGER = 1 << 30
@@ -57,25 +58,70 @@ def run_stream(spark: SparkSession, arrivals: str, schema, state: str, updates:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _delivered(docs: DataFrame, key: str, text: str, folder: str, delivery: str) -> DataFrame:
+    """id, text, file, row of this delivery and of those that the state knows, each from the files it came in.
+
+    Rows that come straight from Parquet files are read from there again by later deliveries; others are first written beside
+    the state. The list of files is written once, before the arrivals, so a delivery that is repeated finds the same rows.
+    """
+    spark = docs.sparkSession
+    paths = f"{folder}/sources/{delivery}"
+    if not _there(spark, paths):
+        rows = docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text"))
+        try:
+            docs.select(key, text).withColumn("__row", F.col("_metadata.row_index"))
+            found, names = docs.inputFiles(), (key, text)
+        except AnalysisException:
+            rows.write.mode("overwrite").parquet(f"{folder}/texts/{delivery}")
+            found, names = [f"{folder}/texts/{delivery}"], ("id", "text")
+        listed = [(delivery, path, *names) for path in found]
+        spark.createDataFrame(listed, "delivery string, path string, key string, text string").coalesce(1).write.mode("overwrite").parquet(paths)
+    every: dict[tuple, list[str]] = {}
+    for r in spark.read.parquet(f"{folder}/sources/*").collect():  # a row a file, which the driver lists anyway
+        every.setdefault((r["key"], r["text"], r["delivery"]), []).append(r["path"])
+    out = None
+    for (k, t, name), files in sorted(every.items(), key=lambda x: x[0][2]):
+        part = located(spark.read.parquet(*files).select(F.col(k).alias("id"), text_or_empty(t).alias("text"))).withColumn("delivery", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumnsRenamed({"__file": "file", "__row": "row"})
+
+
+def _there(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def groups(
     docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256,
-    options: dict[str, str] | None = None,
+    options: dict[str, str] | None = None, state: str | None = None, delivery: str = "0",
 ) -> DataFrame:
-    """key, keep_id, group_size, kept, digest, file, row: one row per document, those that go included."""
+    """key, keep_id, group_size, kept, digest, file, row: one row per document, those that go included.
+
+    With a ``state`` folder, the state outlives the call: further calls with that folder and another ``delivery`` name take their
+    documents against all that came before, and give the groups of all documents so far, as one call with all of them would.
+    Earlier texts are found by their locators, in the files they came in, which must still be there. A call that broke off is
+    repeated under its name. Without one, the state goes with the other intermediate tables.
+    """
     spark = docs.sparkSession
     body = text_or_empty(text)
-    rows = located(docs.select(key, text)).select(
-        F.col(key).alias("id"), digest(body).alias("digest"), F.col("__file").alias("file"), F.col("__row").alias("row"), body.alias("text")
-    )
-    folder = new_folder(spark, "exact")
+    folder = state.rstrip("/") if state else new_folder(spark, "exact")
+    if state:
+        rows = _delivered(docs, key, text, folder, delivery).withColumn("digest", digest(F.col("text")))
+        new = rows.filter(F.col("delivery") == delivery).drop("delivery")
+        rows = rows.drop("delivery")
+    else:
+        rows = new = located(docs.select(key, text)).select(
+            F.col(key).alias("id"), digest(body).alias("digest"), F.col("__file").alias("file"), F.col("__row").alias("row"), body.alias("text")
+        )
     arrivals_at, updates_at = f"{folder}/arrivals", f"{folder}/updates"
-    arrivals = rows.drop("text")
-    arrivals.write.parquet(arrivals_at)
+    arrivals = new.select("id", "digest", "file", "row")
+    if not _there(spark, f"{arrivals_at}/{delivery}"):
+        arrivals.write.mode("overwrite").parquet(f"{arrivals_at}/{delivery}")
     schema = arrivals.schema
-    arrivals = spark.read.schema(schema).parquet(arrivals_at)
+    arrivals = spark.read.schema(schema).parquet(f"{arrivals_at}/*")
     if arrivals.isEmpty():
         return _shown(arrivals.withColumns({"keep": F.struct("id", "file", "row"), "size": F.lit(1).cast("bigint")}), key)
-    run_stream(spark, arrivals_at, schema, f"{folder}/state", updates_at, {"maxBytesPerTrigger": str(BYTES_PER_TRIGGER)} | (options or {}))
+    run_stream(spark, f"{arrivals_at}/*", schema, f"{folder}/state", updates_at, {"maxBytesPerTrigger": str(BYTES_PER_TRIGGER)} | (options or {}))
     states = (
         spark.read.parquet(updates_at).groupBy("digest")
         .agg(F.max_by(F.struct("keep", "size"), "batch").alias("s")).select("digest", "s.keep", "s.size")
@@ -86,8 +132,8 @@ def groups(
     texts = stored(texts, "hit-texts", "zstd")
     here = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
     kept_texts = texts.filter(here).select("digest", F.col("text").alias("kept_text"))
-    differ = texts.join(kept_texts, "digest").filter(F.col("text") != F.col("kept_text")).select("digest").distinct()
-    differ = stored(differ, "differ")
+    # Stored before they are made distinct: with nothing behind it that needs whole digests, Spark can split the join at a large group.
+    differ = stored(texts.join(kept_texts, "digest").filter(F.col("text") != F.col("kept_text")).select("digest"), "differ").distinct()
     placed = arrivals.join(hits, "digest", "left")
     if not differ.isEmpty():
         mixed = texts.drop("keep", "size").join(differ, "digest", "left_semi")
@@ -110,6 +156,9 @@ def _shown(placed: DataFrame, key: str) -> DataFrame:
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with their own columns."""
     rows = packed(docs)
-    found = groups(rows.select(F.col("__doc")[key].alias("key"), F.col("__doc")[text].alias("text"), "__file", "__row"), "key", "text")
-    dropped = found.filter(~F.col("kept")).select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    return without(rows, ["__file", "__row"], stored(dropped, "dropped")).select("__doc.*")
+    judged = rows.select(F.col("__doc")[key].alias("key"), F.col("__doc")[text].alias("text"))
+
+    def dropped() -> DataFrame:
+        return groups(judged, "key", "text").filter(~F.col("kept")).select(F.col("file").alias("__file"), F.col("row").alias("__row"))
+
+    return without(rows, ["__file", "__row"], settled(docs.sparkSession, dropped, "dropped")).select("__doc.*")

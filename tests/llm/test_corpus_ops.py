@@ -69,6 +69,52 @@ def test_exact_of_nothing(spark):
     assert exact.deduplicate(table(spark, [])).collect() == []
 
 
+def test_exact_state_outlives_a_call(spark, tmp_path):
+    """Two deliveries, one of files and one of rows, equal one; also when digests collide, and when a delivery is repeated."""
+    rows = rows_of(corpus(40, seed=3)) + [(900, "one two", "x", None, None), (901, "only later", "x", None, None)]
+    first, second = rows[:25], rows[25:]
+    table(spark, first).repartition(2).write.parquet(f"{tmp_path}/first.parquet")
+    weak = lambda text: F.unhex(F.substring(F.sha2(text, 256), 1, 1))
+    for name, digest in (("strong", exact.sha256), ("weak", weak)):
+        state = f"{tmp_path}/{name}"
+        check_groups(exact.groups(spark.read.parquet(f"{tmp_path}/first.parquet"), digest=digest, state=state, delivery="a").collect(), first)
+        for _ in range(2):
+            check_groups(exact.groups(table(spark, second), digest=digest, state=state, delivery="b").collect(), rows)
+        check_groups(exact.groups(table(spark, []), digest=digest, state=state, delivery="c").collect(), rows)
+
+
+@pytest.mark.parametrize("name", ["__word", "__maybe", "__file", "__row", "__doc", "__slot", "_metadata"])
+def test_columns_of_any_name_come_back(spark, tmp_path, name):
+    rows = [(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "other words in this one here", "z")]
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, {name} string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    for given in (docs, spark.read.parquet(f"{tmp_path}/docs")):
+        kept = exact.deduplicate(given)
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == rows[1:]
+        kept = jaccard.one_of_each(given)
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
+def test_nothing_is_left_behind(spark, tmp_path):
+    """A stage leaves its result and what that result still reads, and nothing else."""
+    import os
+
+    from talkmill.llm import common
+
+    folder = common.shared_folder(spark).removeprefix("file:")
+    there = lambda: {n for n in os.listdir(folder) if not n.startswith("rdd-")}
+    before = there()
+    docs = table(spark, rows_of(corpus(30)))
+    made = common.settled(spark, lambda: jaccard.one_of_each(exact.deduplicate(docs)), "result")
+    left = there() - before
+    assert [n.split("-")[0] for n in left] == ["result"] and made.count() > 0
+    common.forget(made)
+    assert there() == before
+    with pytest.raises(ZeroDivisionError):
+        common.settled(spark, lambda: (common.stored(docs, "kept"), 1 / 0), "never")
+    assert [n.split("-")[0] for n in there() - before] == ["kept"]
+
+
 def shingles(text, words=5):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if x]
     return frozenset(tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
