@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.llm import exact, jaccard, packing, quality
-from talkmill.llm.common import packed, stored, without
+from talkmill.llm.common import forget, packed, settled, stored, without
 from talkmill.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,9 +22,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The documents that pass the current policy. Rows that repeat a key are judged by their own texts."""
     rows = packed(docs)
     keyed = rows.select(F.struct("__file", "__row").alias("place"), F.col("__doc.text").alias("text"))
-    judged = quality.apply_policy(stored(quality.ledger(keyed, "place"), "ledger"))
-    rejected = stored(judged.filter(~F.col("kept")).select("place.__file", "place.__row"), "rejected")
-    return without(rows, ["__file", "__row"], rejected).select("__doc.*")
+
+    def rejected() -> DataFrame:
+        judged = quality.apply_policy(stored(quality.ledger(keyed, "place"), "ledger"))
+        return judged.filter(~F.col("kept")).select("place.__file", "place.__row")
+
+    return without(rows, ["__file", "__row"], settled(spark, rejected, "rejected")).select("__doc.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; the result of each is written and read again."""
+    """All stages on documents; the result of each is written and read again. What a stage stored, and the result it read, goes
+    when its own is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", "zstd")
+    for number, (name, stage) in enumerate(STAGES):
+        made = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
+        if number:
+            forget(docs)
+        docs = made
     return docs
