@@ -2,7 +2,9 @@
 
 Paragraphs are lines with a word, and passages that run over neighbouring lines. Features are the words and word pairs of a paragraph. A multinomial logistic regression with
 a mostly L1 penalty tells licence families and ``unknown`` apart; its temperature and the least probability that counts are
-set on held-out rows. A family that the model names is confirmed when a template of it is contained in the paragraph.
+set on held-out rows. A family that the model names is confirmed when a template of it is contained in the paragraph, unless
+the paragraph holds a word that tells another licence (``BARRED``), lacks the one that tells this licence (``REQUIRED``), or says
+that the licence does not hold (``DENIED``).
 
 Training rows come from the templates, each varied by a rule, and from paragraphs of the corpus that carry no licence word, at
 most ``UNKNOWN_ROWS`` of them. The model is a table of at most ``VOCABULARY`` features, which is broadcast. Paragraphs in which no
@@ -52,7 +54,9 @@ TEMPLATES = {
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
         "use of this source code is governed by a bsd-style license",
         "released under the 3-clause bsd license",
+        "released under the 2-clause bsd license",
         "spdx-license-identifier bsd-3-clause",
+        "spdx-license-identifier bsd-2-clause",
     ],
     "gpl": [
         "this work is licensed under the gnu general public license version 3",
@@ -60,6 +64,11 @@ TEMPLATES = {
         "licensed under the gnu gpl version 2 or later",
         "spdx-license-identifier gpl-3.0-or-later",
     ],
+    "agpl": [
+        "licensed under the gnu affero general public license version 3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license",
+        "spdx-license-identifier agpl-3.0-or-later",
+    ],
     "lgpl": [
         "licensed under the gnu lesser general public license version 2.1",
         "this library is free software you can redistribute it under the terms of the gnu lesser general public license",
@@ -70,6 +79,16 @@ TEMPLATES = {
         "released under the mozilla public license 2.0",
         "spdx-license-identifier mpl-2.0",
     ],
+    "epl": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0",
+        "released under the eclipse public license 2.0",
+        "spdx-license-identifier epl-2.0",
+    ],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "released under the isc license",
+        "spdx-license-identifier isc",
+    ],
     "cc-by": [
         "this work is licensed under a creative commons attribution 4.0 international license",
         "licensed under cc by 4.0",
@@ -77,12 +96,24 @@ TEMPLATES = {
     ],
     "cc-by-sa": [
         "this work is licensed under a creative commons attribution sharealike 4.0 international license",
+        "this work is licensed under a creative commons attribution-sharealike 4.0 international license",
         "licensed under cc by-sa 4.0",
     ],
     "cc-by-nc": [
         "this work is licensed under a creative commons attribution noncommercial 4.0 international license",
+        "this work is licensed under a creative commons attribution-noncommercial 4.0 international license",
         "licensed under cc by-nc 4.0",
     ],
+    "cc-by-nd": [
+        "this work is licensed under a creative commons attribution noderivatives 4.0 international license",
+        "this work is licensed under a creative commons attribution-noderivatives 4.0 international license",
+        "licensed under cc by-nd 4.0",
+    ],
+    "cc-by-nc-sa": [
+        "this work is licensed under a creative commons attribution noncommercial sharealike 4.0 international license",
+        "this work is licensed under a creative commons attribution-noncommercial-sharealike 4.0 international license",
+        "licensed under cc by-nc-sa 4.0",
+    ],
     "cc0": [
         "to the extent possible under law the author has waived all copyright and related rights to this work",
         "dedicated to the public domain under cc0 1.0",
@@ -94,6 +125,25 @@ TEMPLATES = {
         "proprietary and confidential unauthorized copying of this file is strictly prohibited",
     ],
 }
+#: Words that a paragraph of a family does not hold: they tell it from a licence whose text differs in little else.
+BARRED = {
+    "gpl": ["affero", "agpl", "lesser", "lgpl"], "agpl": ["lesser"], "lgpl": ["affero"], "mit": ["isc"], "isc": ["mit"],
+    "cc-by": [
+        "sharealike", "noncommercial", "noderivatives", "by-sa", "by-nc", "by-nd", "by-nc-sa", "attribution-sharealike",
+        "attribution-noncommercial", "attribution-noderivatives", "attribution-noncommercial-sharealike",
+    ],
+    "cc-by-sa": ["noncommercial", "noderivatives", "by-nc-sa"], "cc-by-nc": ["sharealike", "noderivatives", "by-nc-sa", "attribution-noncommercial-sharealike"],
+    "cc-by-nd": ["noncommercial", "sharealike"], "cc-by-nc-sa": ["noderivatives"],
+}
+#: Of these, a paragraph of the family holds one.
+REQUIRED = {
+    "apache": ["apache", "apache-2.0"], "agpl": ["affero", "agpl-3.0-or-later"], "lgpl": ["lesser", "lgpl-2.1-only"], "mpl": ["mozilla", "mpl-2.0"],
+    "epl": ["eclipse", "epl-2.0"], "cc-by-sa": ["sharealike", "by-sa", "attribution-sharealike"],
+    "cc-by-nc": ["noncommercial", "by-nc", "attribution-noncommercial"], "cc-by-nd": ["noderivatives", "by-nd", "attribution-noderivatives"],
+    "cc-by-nc-sa": ["by-nc-sa", "attribution-noncommercial-sharealike", "noncommercial sharealike"],
+}
+#: Word pairs by which a paragraph says that a licence does not hold.
+DENIED = ["not licensed", "not released", "not available", "not under", "not governed", "not subject", "not covered", "no longer"]
 #: Sentences around the same words that name no licence.
 OTHERS = [
     "the driver needs a license before the trip", "the general public was invited to the work of the foundation",
@@ -158,14 +208,23 @@ class Model:
 
 
 def training_rows(spark: SparkSession, docs: DataFrame, text: str = "text", limit: int = UNKNOWN_ROWS) -> DataFrame:
-    """family, text: varied templates, other sentences, and at most ``limit`` paragraphs of the corpus without a licence word."""
+    """family, text: varied templates, other sentences, and at most ``limit`` paragraphs of the corpus without a licence word.
+
+    The paragraphs come from the ``limit`` distinct texts with the smallest hashes of all documents, and are the ``limit`` distinct
+    ones with the smallest hashes among theirs; so they are the same however the documents lie in files.
+    """
     named = [(f, v) for f, ts in TEMPLATES.items() for t in ts for v in variations(t)]
     named += [(UNKNOWN, v) for o in OTHERS for v in variations(o)]
     rows = spark.createDataFrame(named, "family string, text string")
-    lines = docs.select(F.explode(F.split(text_or_empty(text), "\n")).alias("text")).filter(
+    body = text_or_empty(text)
+    hashed = docs.select(F.xxhash64(body).alias("h"), body.alias("text"))
+    chosen = hashed.select("h").distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    taken = hashed.filter(F.col("h") <= F.lit(chosen).cast("bigint")).dropDuplicates(["h"])
+    lines = taken.select(F.explode(F.split("text", "\n")).alias("text")).filter(
         F.col("text").rlike(r"[^\x20\x09-\x0D]") & ~F.lower("text").rlike(r"licen[sc]e|licensed|copyright|spdx|rights reserved|public domain|cc0|gpl")
     )
-    return rows.unionByName(lines.limit(limit).select(F.lit(UNKNOWN).alias("family"), "text"))
+    sample = lines.distinct().orderBy(F.xxhash64("text"), "text").limit(limit)
+    return rows.unionByName(sample.select(F.lit(UNKNOWN).alias("family"), "text"))
 
 
 def train(spark: SparkSession, docs: DataFrame, text: str = "text") -> Model:
@@ -233,7 +292,7 @@ def template_shapes(spark: SparkSession) -> list[Shape]:
     return [Shape(r["family"], r["size"], r["grams"]) for r in named.select("family", F.size(words).alias("size"), grams_of(words).alias("grams")).collect()]
 
 
-#: Words beside a template's own that a stretch may hold, such as the comment marks of its lines.
+#: Words beside a template's own that a stretch may hold, such as the comment marks of its lines; no more than it has itself.
 SLACK = 8
 
 
@@ -263,7 +322,7 @@ def wrapped(lines: Column, at: Column, shapes: list[Shape]) -> Column:
 
     def best(t: Column, first: Column, both: Column) -> Column:
         """The stretch that holds most of the template, the first of equal ones."""
-        size = t["size"] + SLACK
+        size = t["size"] + F.least(F.lit(SLACK), t["size"])
         begins = F.sequence(F.greatest(F.lit(0), F.size(first) - size + 1), F.size(first) - 1)
         stretch = lambda o: let(grams_of(F.slice(both, o + 1, size)), lambda g: F.struct(share(t, g).alias("share"), (-o).alias("o"), g.alias("grams")))
         return F.struct(t["family"].alias("asked"), F.array_max(F.transform(begins, stretch)).alias("best"))
@@ -290,7 +349,7 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     n = len(model.families)
     shapes = template_shapes(spark)
-    of_templates = sorted({g for r in shapes for g in r.grams})
+    of_templates = sorted({g for r in shapes for g in r.grams} | {w for ws in [*BARRED.values(), *REQUIRED.values()] for w in ws} | set(DENIED))
     number = {g: k for k, g in enumerate(of_templates)}
     # Features of the model and of the templates; what only a template has weighs nothing.
     known = [(g, number.get(g), *model.weights.get(g, [0.0] * n)) for g in sorted({*model.weights, *of_templates})]
@@ -316,11 +375,21 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     named = sums.select(*place, "numbers", F.array_max(best)["family"].alias("family"), (1 / total).alias("probability")).filter(
         (F.col("family") != UNKNOWN) & (F.col("probability") >= model.least) & F.coalesce(F.col("asked") == F.col("family"), F.lit(True))
     )
-    by_family = [(f, [[number[g] for g in r.grams] for r in shapes if r.family == f]) for f in TEMPLATES]
-    shapes = spark.createDataFrame(by_family, "family string, templates array<array<int>>")
+    by_family = [
+        (
+            f, [[number[g] for g in r.grams] for r in shapes if r.family == f], [number[g] for g in [*BARRED.get(f, []), *DENIED]],
+            [number[g] for g in REQUIRED.get(f, [])],
+        )
+        for f in TEMPLATES
+    ]
+    shapes = spark.createDataFrame(by_family, "family string, templates array<array<int>>, against array<int>, required array<int>")
+    told = ~F.arrays_overlap("numbers", "against") & ((F.size("required") == 0) | F.arrays_overlap("numbers", "required"))
     share = F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("numbers"))) / F.size(t))
     compared = named.join(F.broadcast(shapes), "family").withColumn("contained", F.array_max(share))
-    return compared.select("key", "file", "row", "paragraph", "family", "probability", "contained", (F.col("contained") >= CONTAINED).alias("confirmed"))
+    return compared.select(
+        "key", "file", "row", "paragraph", "family", "probability", "contained",
+        ((F.col("contained") >= CONTAINED) & told).alias("confirmed"),
+    )
 
 
 def families(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

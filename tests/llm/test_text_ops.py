@@ -219,6 +219,24 @@ HEADERS = {
 }
 
 
+def test_licences_that_differ_in_a_word(spark, tmp_path):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published"
+    cases = [
+        (gpl.format("Affero "), "agpl"), (gpl.format(""), "gpl"), ("Licensed under the GNU Affero General Public License, version 3.", "agpl"),
+        ("SPDX-License-Identifier: AGPL-3.0-or-later", "agpl"), ("SPDX-License-Identifier: BSD-2-Clause", "bsd"), ("Released under the ISC License.", "isc"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided", "isc"),
+        ("Released under the Eclipse Public License 2.0", "epl"), ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd"),
+        ("This work is licensed under a Creative Commons Attribution NonCommercial ShareAlike 4.0 International License.", "cc-by-nc-sa"),
+        ("This project is not released under the MIT License.", ""), ("It is not licensed under the Apache License, Version 2.0.", ""),
+    ]
+    filler = [f"{a} the of ran and lo the of and {b} to in." for a in "abcdefgh" for b in "klmnopqr"]
+    corpus = documents(spark, [f"{x}\n{y}" for x in filler for y in filler[:40]])
+    models = [licences.train(spark, layout) for layout in (corpus.repartition(1), corpus.orderBy(F.desc("doc_id")).repartition(5))]
+    assert models[0] == models[1]
+    got = {r["doc_id"]: r["families"] for r in licences.families(documents(spark, [c[0] for c in cases]), models[0]).collect()}
+    assert got == {i: c[1] for i, c in enumerate(cases)}
+
+
 def test_wrapped_licence_headers(spark):
     """Headers at several widths, plain, in comments, and behind another line; a blank line ends a passage."""
     import textwrap
