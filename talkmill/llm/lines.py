@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from talkmill.llm.common import GAPS, keep_possible, located, stored, without
+from talkmill.llm.common import GAPS, forget, keep_possible, located, stored, without
 
 #: Words that a run must have to be deleted.
 MIN_WORDS = 50
@@ -71,9 +71,14 @@ def longest_earlier(levels: list[DataFrame]) -> DataFrame:
     for k in range(len(levels) - 1, -1, -1):
         step = 1 << k
         following = levels[k].select("d", F.col("i").alias("next"), "r")
-        x = state.withColumn("next", F.col("i") + F.col("gl")).join(following, ["d", "next"], "left").drop("next")
-        parts = x.filter("r IS NOT NULL").groupBy(*interval, "r").agg(F.min(F.struct("d", "i")).alias("f"), F.count("*").alias("c"))
-        y = stored(x.join(parts.filter("c > 1").drop("c"), [*interval, "r"], "left"), "intervals")
+        x = stored(state.withColumn("next", F.col("i") + F.col("gl")).join(following, ["d", "next"], "left").drop("next"), "following")
+        # Where no repeated block follows, there is nothing to meet on; these rows stay out of the join, whose one key they would be.
+        going_on = x.filter("r IS NOT NULL")
+        parts = going_on.groupBy(*interval, "r").agg(F.min(F.struct("d", "i")).alias("f"), F.count("*").alias("c"))
+        met = going_on.join(parts.filter("c > 1").drop("c"), [*interval, "r"], "left")
+        ended = x.filter("r IS NULL").withColumn("f", F.lit(None).cast("struct<d:bigint,i:bigint>")).select(*met.columns)
+        y = stored(met.unionByName(ended), "intervals")
+        forget(x)
         later = F.col("f").isNotNull() & (F.struct("d", "i") != F.col("f"))
         found.append(y.filter(later).select("d", "i", (F.col("gl") + step).alias("size")))
         if k:
