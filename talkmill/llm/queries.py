@@ -121,18 +121,22 @@ CHAT_SQL = r"""
     WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
                UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-    k AS (SELECT *, len(regexp_extract_all(text, '\w+|[^\w\s]')) + 4 AS tokens,
-                 length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 24 AS chars FROM c),
-    s AS (SELECT *, row_number() OVER o - 1 AS no, sum(tokens) OVER o AS stop, first(role) OVER o = 'system' AS led,
-                 first(tokens) OVER o AS first_tokens FROM k WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
-    r AS (SELECT *, stop - tokens AS start, 2048 - 256 - CASE WHEN led THEN least(first_tokens, 512) ELSE 0 END AS room FROM s),
-    p AS (SELECT *, start // floor(room * 0.75)::bigint AS lane, floor(room * 0.75)::bigint AS stride FROM r),
-    w AS (SELECT conv_id, lane, stop > lane * stride + room AS alone, min(start) AS begins FROM p GROUP BY ALL),
+    k AS (SELECT *, (coalesce(list_sum(list_transform(regexp_extract_all(text, '\w+'), lambda x: CASE WHEN length(x) <= 32 THEN 1 ELSE length(x) END)), 0)
+                     + len(regexp_extract_all(text, '[^\w\s]')) + 4)::bigint AS tokens,
+                 length(replace(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '%', '%25'), chr(10), '%0A'))
+                 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 24 AS chars FROM c),
+    s AS (SELECT *, row_number() OVER o - 1 AS no, sum(tokens) OVER o AS stop, sum(tokens) OVER (PARTITION BY conv_id) AS conv_tokens,
+                 CASE WHEN first(role) OVER o = 'system' AND first(tokens) OVER o < 2048 THEN first(tokens) OVER o ELSE 0 END AS system_tokens
+          FROM k WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+    r AS (SELECT *, stop - tokens AS start, 2048 - system_tokens - least(256, (2048 - system_tokens) // 2) AS room FROM s),
+    p AS (SELECT *, start // greatest(room * 3 // 4, 1) AS lane, greatest(room * 3 // 4, 1) AS stride FROM r),
+    w AS (SELECT conv_id, lane, stop > lane * stride + room AS alone, min(start) AS begins, 2048 - sum(tokens) - any_value(system_tokens) AS free
+          FROM p WHERE conv_tokens > stride GROUP BY ALL),
     again AS (
       SELECT p.conv_id, sum(p.chars) AS chars
-      FROM w JOIN p ON p.conv_id = w.conv_id AND w.begins > 0
-        AND CASE WHEN p.led AND p.no = 0 THEN true
-                 ELSE p.stop <= w.begins AND w.begins - p.start <= 256 AND p.tokens <= 256 END
+      FROM w JOIN p ON p.conv_id = w.conv_id AND w.begins > 0 AND w.free >= 0
+        AND CASE WHEN p.role = 'system' AND p.no = 0 THEN p.system_tokens > 0
+                 ELSE p.stop <= w.begins AND w.begins - p.start <= least(256, w.free) AND p.tokens <= 256 END
       GROUP BY p.conv_id)
     SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
