@@ -40,8 +40,8 @@ _SCORES = ["score_combined", "score_title", "score_description", "score_temporal
 _PAIR = ["project_a_id", "project_b_id"]
 
 
-#: The search goes down these scores until it has enough pairs, so that low ones are looked at only where good ones lack.
-LEVELS = (0.95, 0.85, 0.75, 0.65)
+#: The search looks at these scores first, and at the least one only where good pairs lack. Each costs a pass over the profiles.
+LEVELS = (0.9,)
 #: Title similarities between the least and the one that needs no like description are cut into so many bands.
 BANDS = 3
 #: From this similarity on, sizes and places of a shared word are part of the key that two profiles meet on.
