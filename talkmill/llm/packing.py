@@ -19,6 +19,7 @@ source and the text are read. A text of any length is cut wherever windows end;
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -164,12 +165,21 @@ def tail_bounds(tokens: int) -> np.ndarray:
     return np.array(bounds, dtype=np.int64)
 
 
+def id_type(vocabulary: str) -> str:
+    """Type that tokens are stored in: 16-bit integers where the vocabulary's ids fit, else 32-bit ones."""
+    spec = json.loads(vocabulary)
+    ids = [*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))]
+    return "<u2" if max(ids, default=0) <= 0xFFFF else "<u4"
+
+
 def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """part, key, source, before, doc_tokens, ids: the tokens of every document with the end token, as 16-bit integers.
+    """part, key, source, before, doc_tokens, ids: the tokens of every document with the end token, as integers of ``id_type``.
 
     ``part`` numbers the task and ``before`` counts the tokens of the same source that stand earlier in it.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(bpe.read_vocabulary(path))
+    source_text = bpe.read_vocabulary(path)
+    kind = np.dtype(id_type(source_text))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(source_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.Codec(vocabulary.value)
@@ -180,13 +190,13 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
             for a, b in bpe.chunks(texts):
                 ids, counts = codec.encode(texts[a:b])
                 ends = np.cumsum(counts)
-                ids = np.insert(ids.astype("<u2"), ends, END)
+                ids = np.insert(ids.astype(kind), ends, END)
                 counts = counts + 1
                 before = []
                 for s, n in zip(sources[a:b], counts.tolist()):
                     before.append(met.get(s, 0))
                     met[s] = met.get(s, 0) + n
-                stops = np.r_[0, np.cumsum(counts)] * 2
+                stops = np.r_[0, np.cumsum(counts)] * kind.itemsize
                 raw = ids.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * (b - a), pa.int64()), batch.column("key").slice(a, b - a), batch.column("source").slice(a, b - a),
@@ -223,6 +233,8 @@ def pack(
 
     ``targets`` gives the wanted proportion of each source in a window; sources it leaves out come at the end.
     """
+    kind = np.dtype(id_type(bpe.read_vocabulary(path)))
+    width = kind.itemsize
     tokens = stored(tokenized(docs, path, key, text, source), "tokens", "zstd")
     per_file = stored(tokens.groupBy("source", "part").agg(F.sum("doc_tokens").alias("n")), "token-counts")
     per_source = per_file.groupBy("source").agg(F.sum("n").alias("n"))
@@ -253,7 +265,7 @@ def pack(
         first = lambda r: F.greatest(F.col("begin"), r * RUN)
         piece = lambda r: F.struct(
             r.alias("run"), first(r).alias("at"),
-            F.substring("ids", ((first(r) - F.col("begin")) * 2 + 1).cast("int"), ((F.least(stop, (r + 1) * RUN) - first(r)) * 2).cast("int")).alias("ids"),
+            F.substring("ids", ((first(r) - F.col("begin")) * width + 1).cast("int"), ((F.least(stop, (r + 1) * RUN) - first(r)) * width).cast("int")).alias("ids"),
         )
         of_doc = F.transform(F.sequence(F.floor(F.col("begin") / RUN), F.floor((stop - 1) / RUN)), piece)
         dealt = placed.filter(F.col("queue") == POOL).select("key", "source", "queue", "begin", "doc_tokens", F.explode(of_doc).alias("x"))
@@ -268,7 +280,7 @@ def pack(
             for lo in range(0, batch.num_rows, 256):
                 rows, starts, lengths, sequences, offsets, parts = [], [], [], [], [], []
                 for n in range(lo, min(lo + 256, batch.num_rows)):
-                    size = len(ids[n]) // 2
+                    size = len(ids[n]) // width
                     start, sequence, offset = cut(schedule, queues[n], begins[n], size)
                     length = np.diff(np.r_[start, size])
                     rows.append(np.full(len(start), n))
@@ -276,7 +288,7 @@ def pack(
                     lengths.append(length)
                     sequences.append(sequence)
                     offsets.append(offset)
-                    parts.append(np.frombuffer(ids[n], dtype="<u2").astype("<u4"))
+                    parts.append(np.frombuffer(ids[n], dtype=kind).astype("<u4"))
                 row = np.concatenate(rows)
                 length = np.concatenate(lengths)
                 yield pa.RecordBatch.from_arrays(

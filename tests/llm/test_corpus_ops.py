@@ -1,6 +1,7 @@
 """Operators over the whole corpus, against brute force: exact and near duplicates, repeated lines, packing, the pipeline."""
 
 import collections
+import json
 import random
 import re
 
@@ -272,6 +273,26 @@ def test_packing_targets_of_small_sources(spark):
             packing.pack(docs, tokenizer_path(), targets=bad)
 
 
+def test_packing_large_vocabulary(spark, tmp_path):
+    """Ids above 65,535 are kept whole."""
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["vocab"] = {w: i + 70_000 for w, i in spec["model"]["vocab"].items()}
+    spec["added_tokens"] = [t | {"id": t["id"] + 70_000} for t in spec["added_tokens"]]
+    path = tmp_path / "large.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    text = {1: "the quick brown fox " * 300, 2: "", 3: "jumps over"}
+    docs = table(spark, [(n, t, f"s{n}", "clash", "clash") for n, t in text.items()])
+    found = collections.defaultdict(list)
+    for p in sorted(packing.pack(docs, str(path)).collect(), key=lambda p: p["start"]):
+        found[p["doc_id"]] += np.frombuffer(p["ids"], "<u4").tolist()
+    expected = Tokenizer.from_file(tokenizer_path())
+    for n, t in text.items():
+        assert found[n] == [i + 70_000 for i in expected.encode(t, add_special_tokens=False).ids] + [0]
+
+
 def test_packed_sequences(spark):
     rows = rows_of(corpus(20, 2))
     pieces = packing.pack(table(spark, rows), tokenizer_path())
