@@ -22,6 +22,9 @@ HASH_SEED = 5381
 
 _WORD = re.compile(f"[^{WS}]+")
 
+#: Words that are projected at once, at some 300 bytes each; a text with more is taken alone.
+WORDS_AT_ONCE = 1 << 16
+
 
 @dataclass(frozen=True)
 class EmbeddingProvider:
@@ -49,16 +52,33 @@ def _hash_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def project_texts(texts: list[str], max_words: int | None = None) -> np.ndarray:
-    """Unit vectors of a batch of texts, of all their words or the first ones; a text without words gives zeros."""
-    words = [_WORD.findall(t)[:max_words] for t in texts]
+    """Unit vectors of a batch of texts, of all their words or the first ones; a text without words gives zeros.
+
+    Spark hands over thousands of texts at once; a bounded number of words is worked on at a time.
+    """
+    out = np.zeros((len(texts), HASH_DIM))
+    held, n, done = [], 0, 0
+    for i, text in enumerate(texts):
+        words = _WORD.findall(text)[:max_words]
+        if held and n + len(words) > WORDS_AT_ONCE:
+            out[done:i] = _project(held)
+            held, n, done = [], 0, i
+        held.append(words)
+        n += len(words)
+    if held:
+        out[done:] = _project(held)
+    return out
+
+
+def _project(words: list[list[str]]) -> np.ndarray:
     counts = np.array([len(w) for w in words], dtype=np.int64)
     flat = np.array([w for ws in words for w in ws], dtype=object)
     if len(flat) == 0:
-        return np.zeros((len(texts), HASH_DIM))
+        return np.zeros((len(words), HASH_DIM))
     codes, distinct = pd.factorize(flat)
     known, lengths = _hash_words(distinct.tolist())
     hashes, sizes = known[codes], lengths[codes]
-    owner = np.repeat(np.arange(len(texts)), counts)
+    owner = np.repeat(np.arange(len(words)), counts)
     index = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
     k = np.arange(HASH_SLOTS, dtype=np.int64)
     slots = (hashes[:, None] + k * 17 + index[:, None]) % HASH_DIM
@@ -67,7 +87,7 @@ def project_texts(texts: list[str], max_words: int | None = None) -> np.ndarray:
     rest = np.fmod(signed[:, None] >> (k * 8).astype(np.int32), 256)
     wave = np.sin(rest * 0.01) + np.cos((index + 1) * (sizes + 1) * 0.01)[:, None]
     cells = (owner[:, None] * HASH_DIM + slots).ravel()
-    vectors = np.bincount(cells, weights=wave.ravel(), minlength=len(texts) * HASH_DIM).reshape(len(texts), HASH_DIM)
+    vectors = np.bincount(cells, weights=wave.ravel(), minlength=len(words) * HASH_DIM).reshape(len(words), HASH_DIM)
     norms = np.sqrt(np.sum(vectors * vectors, axis=1))
     return vectors / np.where(norms == 0, 1.0, norms)[:, None]
 

@@ -1,5 +1,7 @@
 import math
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +39,16 @@ def test_words_past_the_limit_do_not_count():
     assert project_texts([TEXTS[-1]], 512)[0] == pytest.approx(project_texts(["word " * 512])[0])
 
 
+def test_memory_does_not_grow_with_the_batch():
+    texts = [" ".join(f"w{(i * j) % 997}" for j in range(i % 800)) for i in range(3000)]
+    tracemalloc.start()
+    got = project_texts(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # words and arrays of the whole batch at once take 256 MB
+    assert all(np.array_equal(got[i], project_texts([texts[i]])[0]) for i in range(0, 3000, 97))
+
+
 def test_backfill_keeps_what_is_there(spark):
     chunks = table(spark, "chunks", [{"id": "a", "text": "one two"}, {"id": "b", "text": "three", "embedding": [1.0]}])
     once = backfill_embeddings(chunks)
