@@ -111,6 +111,23 @@ def test_segments_search_like_a_fresh_index(spark, tmp_path):
     step(4, {}, ["a", "e"])
 
 
+def test_deletions_leave_the_segments_where_they_are(spark, tmp_path, monkeypatch):
+    store = TableStore(spark, str(tmp_path / "s"))
+    with store.begin("0") as staged:
+        sg.add_segment(staged, chunks(spark, a="foo bar", b="foo", c="bar"))
+    with store.begin("1") as staged:
+        sg.delete_chunks(staged, spark.createDataFrame([("a",)], "chunk_id string"))
+    read = lambda: sg.read_index(store.at()).lists
+    shuffled = lambda: "SortMergeJoin" in read()._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # else Spark sends so small a table by itself
+    try:
+        assert not shuffled() and ids(read().withColumnRenamed("chunk_id", "id")) == ["b", "c"]
+        monkeypatch.setattr(sg, "GONE_BYTES", 0)  # more ids than are sent to all tasks
+        assert shuffled() and ids(read().withColumnRenamed("chunk_id", "id")) == ["b", "c"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_an_import_and_its_index_become_visible_together(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "s"))
     files = spark.createDataFrame([("x/a.md", "## User\nhello garden\n")], "file_name string, content string")
