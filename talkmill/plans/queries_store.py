@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.operators import search as se
@@ -78,12 +80,33 @@ PARTS = f"""SELECT conv_id, substring(said, s + 1, 8000) AS part
           FROM (SELECT conv_id, {SAID} AS said FROM conversations) WHERE length(said) > 0)"""
 
 
+#: Conversations of an export file, on average, and the files that a delivery is spread over at least.
+FILE_CHATS, LEAST_FILES = 256, 8
+
+
 def _export(t: Testbed, where: str, folder: str) -> None:
-    """One export file per conversation."""
+    """Export files of many whole conversations each, as chat services give them out; a file per conversation would cost more than its import."""
     message = F.struct("turn", "role", F.col("text").alias("content"))
-    chats = t.table("conversations").filter(where).groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("messages"))
-    titled = chats.select(F.concat(F.lit("Chat "), F.col("conv_id").cast("string")).alias("title"), "messages")
-    titled.write.mode("append").option("maxRecordsPerFile", 1).json(folder)
+    rows = t.table("conversations").filter(where)
+    files = max(LEAST_FILES, -(-rows.select("conv_id").distinct().count() // FILE_CHATS))
+    placed = rows.withColumn("file", F.pmod(F.xxhash64("conv_id"), F.lit(files))).repartition("file")
+    chats = placed.groupBy("file", "conv_id").agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    titled = chats.select("file", F.struct(F.concat(F.lit("Chat "), F.col("conv_id").cast("string")).alias("title"), "messages").alias("chat"))
+    exports = titled.groupBy("file").agg(F.to_json(F.array_sort(F.collect_list("chat"))).alias("value")).select("value")
+    staged = f"{folder}_{uuid.uuid4().hex}"
+    exports.write.option("maxRecordsPerFile", 1).text(staged)
+    _deliver(t.spark, staged, folder)
+
+
+def _deliver(spark: SparkSession, staged: str, folder: str) -> None:
+    """Move files into a folder that a stream watches, with the ending of their content; Spark's text files all end in .txt."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    for file in fs.listStatus(path(staged)):
+        name = file.getPath().getName()
+        if name.startswith("part-") and not fs.rename(file.getPath(), path(f"{folder}/{name.removesuffix('.txt')}.json")):
+            raise OSError(f"{name} could not be moved to {folder}")
 
 
 @query(

@@ -1,5 +1,6 @@
 """The store's log, the stored index, the day trend, resumed maintenance and nearest vectors."""
 
+import json
 import math
 import random
 from datetime import datetime
@@ -11,6 +12,8 @@ from helpers import table, ts, values
 from talkmill.operators import embeddings as em
 from talkmill.operators import search as se
 from talkmill.operators import segments as sg
+from talkmill.plans import queries_store as qs
+from talkmill.plans import testbed
 from talkmill.plans.maintenance import resume_maintenance
 from talkmill.schema import TABLES, empty_table
 from talkmill.sources.store import TableStore
@@ -216,3 +219,19 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
     none = spark.createDataFrame([], schema)
     assert em.nearest(none, spark.createDataFrame(vectors, schema), 3).count() == 0
     assert em.nearest(spark.createDataFrame(queries, schema), none, 3).count() == 0
+
+
+def test_an_export_puts_many_conversations_into_a_file(spark, tmp_path):
+    said = {c: [f'{c} "a"\n[1]', "  ", f"] é {c}"] for c in range(1, 200)}
+    rows = [(c, turn, "user" if turn % 2 == 0 else "assistant", text) for c, texts in said.items() for turn, text in enumerate(texts)]
+    spark.createDataFrame(rows[::-1], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "sf/conversations.parquet"))
+    inbox, t = tmp_path / "inbox", testbed.Testbed(spark, str(tmp_path / "sf"))
+    first = None
+    for where in ("conv_id % 3 = 0", "conv_id % 3 <> 0"):
+        qs._export(t, where, str(inbox))
+        files = sorted(inbox.glob("part-*"))
+        first = first or files
+    assert set(first) < set(files) and all(f.suffix == ".json" for f in files) and 2 < len(files) <= 2 * qs.LEAST_FILES
+    chats = {chat["title"]: [m["content"] for m in chat["messages"]] for f in files for chat in json.loads(f.read_text())}
+    assert chats == {f"Chat {c}": texts for c, texts in said.items()}
+    assert sum(len(json.loads(f.read_text())) for f in files) == len(said)
