@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +20,29 @@ def test_words_split_on_every_space_character(spark):
     assert apply(spark, tx.strip_ws, f"{NBSP} a b \n") == ["a b"]
 
 
+def test_spaces_are_told_like_the_listed_ones(spark):
+    points = spark.range(0x110000).filter("id < 55296 OR id > 57343")
+    char = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex("id"), 8, "0"))), "UTF-32")  # after a byte order mark, which decoding takes off
+    assert points.filter(char.rlike(f"^{tx.NOT_WS}$") == char.rlike(f"^[{tx.WS}]$")).count() == 0
+    around = F.concat(char, F.lit("a"), char, F.lit("b"), char)
+    stripped = F.when(char.rlike(f"^[{tx.WS}]$"), F.concat(F.lit("a"), char, F.lit("b"))).otherwise(around)
+    assert points.filter(tx.strip_ws(around) != stripped).count() == 0
+    assert apply(spark, tx.strip_ws, "a " + chr(0x85), None, "", NBSP) == ["a " + chr(0x85), None, "", ""]
+
+
+def test_counting_words_asks_no_ascii_character_for_every_space(spark):
+    texts = spark.range(0, 400, 1, 1).select(F.repeat(F.concat("id", F.lit(" plain words ")), 500).alias("t")).localCheckpoint()
+
+    def seconds(pattern):
+        start = time.perf_counter()
+        total = texts.agg(F.sum(pattern)).first()[0]
+        return time.perf_counter() - start, total
+
+    ways = [tx.word_count(F.col("t")), F.regexp_count("t", F.lit(f"[^{tx.WS}]+"))]
+    (quick, n), (slow, m) = [min(seconds(w) for _ in range(3)) for w in ways]
+    assert n == m == 400 * 500 * 3 and quick * 2 < slow
+
+
 def test_keyword_words_keep_apostrophes_and_split_on_accents(spark):
     assert apply(spark, tx.keyword_words, "Don't re-use Caf" + chr(233) + "s 42") == [["don't", "re-use", "caf", "s", "42"]]
 
